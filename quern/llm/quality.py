@@ -146,35 +146,31 @@ def _subset(chunk: Chunk, at: np.ndarray) -> Chunk:
     return Chunk(chunk.data[take], off)
 
 
-def cascade(chunk: Chunk, rules: Sequence[Rule], counts: Counts | None = None) -> np.ndarray:
-    """The index of the first rule that rejects each document, -1 where none does."""
-    failed = np.full(chunk.n, -1)
-    at, counts = np.arange(chunk.n), counts or Counts(chunk)
-    for k, rule in enumerate(rules):
-        good = rule.passes(counts)
-        failed[at[~good]] = k
-        if not good.all():
-            at = at[good]
-            if not len(at):
-                break
-            if good.mean() < 0.8:  # later rules then scan the survivors' bytes only
-                counts = Counts(_subset(counts.chunk, np.flatnonzero(good)))
-            else:
-                kept, made = np.flatnonzero(good), counts.made
-                counts = _Left(counts, kept) if made is not None else counts
-    return failed
-
-
-class _Left(Counts):
+class _Some(Counts):
     """The counts of some of another's documents."""
 
     def __init__(self, of: Counts, at: np.ndarray) -> None:
-        self.of, self.at, self.made, self.chunk = of, at, {}, None
+        self.of, self.at = of, at
 
     def __getitem__(self, name: str) -> np.ndarray:
         return self.of[name][self.at]
 
 
+def cascade(chunk: Chunk, rules: Sequence[Rule], counts: Counts | None = None) -> np.ndarray:
+    """The index of the first rule that rejects each document, -1 where none does."""
+    failed, counts = np.full(chunk.n, -1), counts or Counts(chunk)
+    at = own = np.arange(chunk.n)  # the survivors, in the chunk and in what ``counts`` covers
+    for k, rule in enumerate(rules):
+        good = rule.passes(_Some(counts, own))
+        failed[at[~good]] = k
+        at, own = at[good], own[good]
+        if not len(at):
+            break
+        if len(own) < 0.8 * counts.chunk.n:  # the rules that follow scan the survivors' bytes only
+            counts, own = Counts(_subset(counts.chunk, own)), np.arange(len(own))
+    return failed
+
+
 def plan_rules(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
     """The cascade's order, estimated on at most ``sample_rows`` documents."""
     texts = [r[0] for r in pick(df, text_col).take(sample_rows)]
