@@ -133,6 +133,12 @@ class Chunk:
         at = at[at + k <= doc_end[: n - k + 1]]
         return mix((sums[at + k] - sums[at]) * down[at]), at
 
+    def range_hash(self, word_hash: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """A hash of each range of words; ranges of unlike length differ."""
+        up, down = _WORDS.upto(len(word_hash) + 1)
+        sums = prefix(word_hash * up[:-1])
+        return mix(mix((sums[ends] - sums[starts]) * down[starts]) ^ (ends - starts).astype(np.uint64))
+
     def per_doc(self, per_byte: np.ndarray) -> np.ndarray:
         """Sums of a value of each byte by document."""
         return np.diff(prefix(per_byte)[self.off])

@@ -36,4 +36,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM m
 """
 
-ORACLE: dict[str, str] = {"op10_quality": _OP10}
+_OP7 = rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS h
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)
+), later AS (
+  SELECT doc_id, i FROM windows QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
+), gone AS (
+  SELECT doc_id, list(DISTINCT i + k) AS pos FROM later, (SELECT unnest(range(20)) AS k) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(pos), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN pos IS NULL THEN w
+    ELSE [w[i] for i in range(1, len(w) + 1) if NOT list_contains(pos, i)] END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+ORACLE: dict[str, str] = {"op7_substring": _OP7, "op10_quality": _OP10}
