@@ -53,4 +53,26 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(pos), 0) AS
 FROM d LEFT JOIN gone USING (doc_id)
 """
 
-ORACLE: dict[str, str] = {"op7_substring": _OP7, "op10_quality": _OP10}
+_OP9 = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM d WHERE len(w) >= 2)
+  UNION ALL SELECT doc_id, w[1] FROM d WHERE len(w) = 1
+), n AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id
+  JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id
+  GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 80 * (na.n + nb.n - count(*))
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM d UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+)
+SELECT doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(b) AS component_id, doc_id = min(b) AS kept
+FROM (SELECT a AS doc_id, b FROM reach) LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+ORACLE: dict[str, str] = {"op7_substring": _OP7, "op9_neardup": _OP9, "op10_quality": _OP10}
