@@ -19,9 +19,11 @@ table gives no pieces; further columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import os
 import struct
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from .common import pick, text_buffers
 #: Tokens of one packing window at least, unless the partition ends.
 WINDOW_TOKENS = 1 << 21
 #: Words whose ids a worker remembers at most.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 500_000
 #: Bytes of one document that are split into words at a time.
 SEGMENT_BYTES = 1 << 20
 #: Bytes of text encoded together.
@@ -88,33 +90,36 @@ class _Loaded:
         self.parts.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.cut, self.words, self.known = regex.compile(self.CUT), {}, {}
 
-    @staticmethod
-    def plain(word: str) -> bool:
-        return max(word) < "\u0250" and word.isprintable() and "<|" not in word
+    def parts_of(self, raw: bytes) -> list[str] | None:
+        """The word's parts in lower case; None where only the whole tokenizer can say."""
+        word = raw.decode()
+        if not raw.isascii() and max(word) >= "\u0250":
+            return None
+        low = word.lower()
+        if low.isalpha():
+            return [low]
+        if low[:-1].isalpha() and low[-1] in ".,;:!?":
+            return [low[:-1], low[-1]]
+        return self.cut.findall(low) if word.isprintable() and "<|" not in word else None
 
     def learn(self, new: list[bytes]) -> None:
+        """Remember the ids of words not met before."""
         if len(self.known) > MEMO_WORDS:
             self.known.clear()
-        words, known, cuts, others = self.words, self.known, [], []
-        for raw in new:
-            word = raw.decode()
-            if self.plain(word):
-                cuts.append((raw, self.cut.findall(word.lower())))
-            else:
-                others.append((raw, word))
-        parts = list({p for _, cut in cuts for p in cut if p not in known})
-        for a in range(0, len(parts), 500):
-            some = parts[a : a + 500]
-            ids: list[list[int]] = [[] for _ in some]
+        known, cuts = self.known, [*map(self.parts_of, new)]
+        parts = list({p for cut in cuts if cut for p in cut}.difference(known))
+        for a in range(0, len(parts), 1000):
+            some = parts[a : a + 1000]
             found = self.parts.encode(" ".join(some), add_special_tokens=False)
-            for k, i in zip(found.word_ids, found.ids, strict=True):
-                ids[k].append(i)
-            for p, own in zip(some, ids, strict=True):
-                known[p] = struct.pack(f"<{len(own)}I", *own)
-        for raw, cut in cuts:
-            words[raw] = known[cut[0]] if len(cut) == 1 else b"".join([known[p] for p in cut])
-        for (raw, _), e in zip(others, self.whole.encode_batch_fast([w for _, w in others], add_special_tokens=False), strict=True):
-            words[raw] = struct.pack(f"<{len(e)}I", *e.ids)
+            ids, of = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            ends = (4 * np.searchsorted(of, np.arange(len(some)), "right")).tolist()
+            known.update(zip(some, [ids[i:j] for i, j in zip([0, *ends], ends, strict=False)], strict=True))
+        others = [w for w, cut in zip(new, cuts, strict=True) if not cut]
+        self.words.update(
+            (w, known[cut[0]] if len(cut) == 1 else b"".join([known[p] for p in cut])) for w, cut in zip(new, cuts, strict=True) if cut
+        )
+        for w, e in zip(others, self.whole.encode_batch_fast([w.decode() for w in others], add_special_tokens=False), strict=True):
+            self.words[w] = struct.pack(f"<{len(e)}I", *e.ids)
 
 
 #: By vocabulary file; a Python worker keeps them from task to task.
@@ -152,27 +157,34 @@ class WordEncoder:
 
     def encode(self, texts: list[memoryview]) -> list[bytes]:
         """Little-endian ids of each UTF-8 text, the end id last."""
-        memo, out = self.memo, []
-        if len(memo) > MEMO_WORDS:
-            memo.clear()
-        split = [s.split() for t in texts if len(t) <= SEGMENT_BYTES for s in (bytes(t),)]
-        self._learn({w for words in split for w in words})
-        words = iter(split)
-        for t in texts:
-            if len(t) <= SEGMENT_BYTES:
-                out.append(b"".join([*map(memo.__getitem__, next(words)), self.end]))
-                continue
-            parts = []
-            for segment in self._segments(t):
-                own = segment.split()
-                self._learn(set(own))
-                parts.append(b"".join(map(memo.__getitem__, own)))
-            out.append(b"".join([*parts, self.end]))
-        return out
+        collecting = gc.isenabled()
+        gc.disable()  # the many short lists made here hold no cycles; looking for some takes a third of the time
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[memoryview]) -> list[bytes]:
+        if len(self.memo) > MEMO_WORDS:
+            self.memo.clear()
+        split = [bytes(t).split() if len(t) <= SEGMENT_BYTES else None for t in texts]
+        self._learn(set(chain.from_iterable(filter(None, split))))
+        return [self._ids(words) + self.end if words is not None else self._long(t) for t, words in zip(texts, split, strict=True)]
+
+    def _ids(self, words: list[bytes]) -> bytes:
+        return b"".join(map(self.memo.__getitem__, words))
+
+    def _long(self, text: memoryview) -> bytes:
+        out = []
+        for words in map(bytes.split, self._segments(text)):
+            self._learn(set(words))
+            out.append(self._ids(words))
+        return b"".join(out) + self.end
 
     def _learn(self, words: set[bytes]) -> None:
-        if new := [w for w in words if w not in self.memo]:
-            self.loaded.learn(new)
+        if new := words.difference(self.memo):
+            self.loaded.learn(list(new))
 
 
 def pack(
