@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, packing, quality, substring
+from . import mixing, neardup, packing, quality, sharding, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,19 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard(documents(spark, sf_dir), carry={"text_crc32": F.crc32(F.coalesce("text", F.lit("")))})
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: Target weights follow the sources' bytes to this power, so small sources weigh more than they are.
+MIX_POWER = 0.5
+
+
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(documents(spark, sf_dir), power=MIX_POWER).drop("fp")
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring.dedup(documents(spark, sf_dir))
     kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -48,6 +61,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_sharding": op2_sharding,
+    "op5_mixing": op5_mixing,
     "op7_substring": op7_substring,
     "op9_neardup": op9_neardup,
     "op10_quality": op10_quality,
