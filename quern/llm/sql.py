@@ -75,4 +75,38 @@ SELECT doc_id, CAST(coalesce(max(n), 0) AS BIGINT) AS n_shingles, min(b) AS comp
 FROM (SELECT a AS doc_id, b FROM reach) LEFT JOIN n USING (doc_id) GROUP BY doc_id
 """
 
-ORACLE: dict[str, str] = {"op7_substring": _OP7, "op9_neardup": _OP9, "op10_quality": _OP10}
+def _op8() -> str:
+    from .licenses import PHRASES, TEMPLATES, THRESHOLD
+
+    lower = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    rows = lambda x: ", ".join(f"('{a}', '{b}')" for a, b in x.items())
+    return rf"""
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all({lower.format("text")}, '{word}') AS w FROM documents
+), phrases AS (
+  SELECT string_split(phrase, ' ') AS p, label FROM (VALUES {rows(PHRASES)}) AS v(phrase, label)
+), places AS (
+  SELECT doc_id, i - 1 AS place, label
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), phrases WHERE w[i : i + len(p) - 1] = p
+), base AS (
+  SELECT doc_id, count(*) AS n, min(place) AS first, max(place) AS last, list(DISTINCT label) AS labels FROM places GROUP BY doc_id
+), templates AS (
+  SELECT name, list_distinct(regexp_extract_all({lower.format("notice")}, '{word}')) AS t FROM (VALUES {rows(TEMPLATES)}) AS v(name, notice)
+), blocks AS (
+  SELECT doc_id, regexp_extract_all(line, '{word}') AS b
+  FROM (SELECT doc_id, unnest(string_split({lower.format("text")}, chr(10))) AS line FROM d)
+), own AS (
+  SELECT doc_id, max(len(list_intersect(t, b)) / len(t)) AS score, list(DISTINCT name) AS labels
+  FROM blocks, templates WHERE len(list_intersect(t, b)) >= {THRESHOLD} * len(t) - 1e-9 GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_base,
+  CAST(first AS BIGINT) AS first_word, CAST(last AS BIGINT) AS last_word,
+  array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(own.labels, [])))), ',') AS labels,
+  CASE WHEN n > 0 THEN 1.0::DOUBLE ELSE coalesce(own.score, 0.0)::DOUBLE END AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN own USING (doc_id)
+"""
+
+
+ORACLE: dict[str, str] = {"op7_substring": _OP7, "op8_licenses": _op8(), "op9_neardup": _OP9, "op10_quality": _OP10}
