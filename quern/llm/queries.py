@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, mixing, neardup, packing, quality, sharding, substring
+from . import ann, langid, licenses, mixing, neardup, packing, quality, sharding, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,10 +38,22 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 MIX_POWER = 0.5
 
 
+def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
+    profiles = langid.learn(docs, where=~held_out)
+    return langid.predict(docs, profiles).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.schedule(documents(spark, sf_dir), power=MIX_POWER).drop("fp")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = substring.dedup(documents(spark, sf_dir))
     kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " "))
@@ -74,7 +86,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
+    "op3_langid": op3_langid,
     "op5_mixing": op5_mixing,
+    "op6_ann": op6_ann,
     "op7_substring": op7_substring,
     "op8_licenses": op8_licenses,
     "op9_neardup": op9_neardup,
