@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, licenses, mixing, neardup, packing, quality, sharding, substring
+from . import ann, langid, licenses, lmscore, mixing, neardup, packing, quality, sharding, substring
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -34,6 +34,12 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op4_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    vocab = lmscore.vocabulary(docs)
+    return lmscore.score(docs, vocab, lmscore.fit(docs, vocab))
+
+
 #: Target weights follow the sources' bytes to this power, so small sources weigh more than they are.
 MIX_POWER = 0.5
 
@@ -87,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_sharding": op2_sharding,
     "op3_langid": op3_langid,
+    "op4_lmscore": op4_lmscore,
     "op5_mixing": op5_mixing,
     "op6_ann": op6_ann,
     "op7_substring": op7_substring,
