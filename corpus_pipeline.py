@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import quality
+from quern.llm import mixing, neardup, packing, quality, substring
+from quern.llm.queries import MIX_POWER, tokenizer
 from quern.storage import materialize
 
 
@@ -13,15 +15,43 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs)
 
 
-STAGES = [("quality rules", quality_rules)]
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the smallest id, of each group linked by 0.8 of their five-word shingles."""
+    return neardup.keep(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 20 words or more that stand earlier; ``n_chars`` follows the text."""
+    left = substring.dedup(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
+    left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return left.select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents in the order of the mixture, in which part files follow one another."""
+    return mixing.interleave(docs, power=MIX_POWER)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids in sequences of at most 2,048, windows following the mixture."""
+    return packing.pack(docs, tokenizer)
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("substring dedup", substring_dedup),
+    ("mixing sources", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: SQL has no counterpart of the tokenizer and of packing; tests compare with a brute-force version.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again before the next."""
+    """All stages over ``documents``, each but the last written and read again before the next."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
