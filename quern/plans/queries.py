@@ -1,10 +1,8 @@
-"""Queries over the test tables, one for each operator."""
+"""All registered queries over the test tables, with their SQL counterparts."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import q_answers, q_corpus, q_evaluate, q_retrieval  # noqa: F401  registration
+from .registry import ORACLE, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
+__all__ = ["ORACLE", "QUERIES"]

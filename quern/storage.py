@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -24,22 +25,36 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
     Cuts lineage as ``checkpoint()`` does, in a compact columnar form that any
-    executor can read again after another one is lost.
+    executor can read again after another one is lost. Then asks the driver's JVM
+    for a collection, upon which Spark deletes the shuffle files behind ``df``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    table = spark.read.schema(df.schema).parquet(path)
+    table.quern_path = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _written.remove((spark, path))
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned, once all that reads them has been written."""
+    for t in tables:
+        _delete(t.sparkSession, t.quern_path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete every table that :func:`materialize` wrote for ``spark``."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    for entry in [e for e in _written if e[0] is spark]:
-        _written.remove(entry)
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(entry[1])
-        path.getFileSystem(hadoop).delete(path, True)
+    for _, path in [e for e in _written if e[0] is spark]:
+        _delete(spark, path)
 
 
 @atexit.register
