@@ -111,3 +111,19 @@ def retrieval_signals(hits: DataFrame) -> DataFrame:
         F.count("*").alias("n_hits"), F.max("rrf_score").alias("best_rrf"), F.coalesce(F.max("dense_score"), F.lit(0.0)).alias("best_cosine"),
         F.when(F.count("*") < 2, 1.0).otherwise(F.round(at(1) - at(2), 6)).alias("score_margin"),
     )
+
+
+def cross_lingual(hits: DataFrame, queries: DataFrame, documents: DataFrame, k: int = 10) -> DataFrame:
+    """Recall at ``k`` for each ordered pair of languages: (source, target, n_queries, recall).
+
+    ``hits`` are lists by language (qid, lang, rank, document_id); ``queries``
+    have qid, source and group, ``documents`` document_id, lang and group: what
+    answers a query in another language is in its group. Queries that have an
+    answer in the target language count.
+    """
+    there = documents.select(F.col("lang").alias("target"), "group").distinct()
+    asked = queries.join(there, "group").where("source <> target").select("qid", "source", "target", "group")
+    own = documents.select("document_id", F.col("group").alias("g"))
+    found = hits.where(F.col("rank") <= k).join(own, "document_id").select("qid", F.col("lang").alias("target"), F.col("g").alias("group"), F.lit(1).alias("hit")).distinct()
+    rows = asked.join(found, ["qid", "target", "group"], "left").groupBy("source", "target", "qid").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
+    return rows.groupBy("source", "target").agg(F.count("*").alias("n_queries"), F.round(F.avg("hit"), 4).alias("recall"))
