@@ -8,14 +8,14 @@ All windows are judged, on the input as it is.
 Shuffling a hash of each window would move several times the input. Two exact
 steps come first, both on what the words are and not on where they stand:
 
-1. Cuts at words whose hash says so split a document's windows into segments of
-   about 64. A segment whose words (with those that its last window reaches)
-   occurred earlier is removed whole, which settles copies of any size with one
-   row for each segment. First occurrences of all windows lie in first segments.
-2. Each remaining window has an anchor: its ``ANCHOR``-word sequence of least
-   hash. Equal windows have equal anchors, so only windows whose anchor occurs
-   in two unlike segments, or twice in one, need comparing. About one word in
-   seven is an anchor.
+1. Each window has an anchor: its ``ANCHOR``-word sequence of least hash. About
+   one word in seven is one. Where the anchor moves to one whose hash says so, a
+   document's windows are cut into segments, of about 60. A segment whose words
+   (with those that its last window reaches) occurred earlier is removed whole,
+   which settles copies of any size with one row for each segment. First
+   occurrences of all windows lie in first segments.
+2. Equal windows have equal anchors, so of the remaining windows only those whose
+   anchor occurs in two unlike segments, or twice in one, need comparing.
 
 The hashes of the windows that are left are counted and their first places
 found by an aggregation with map-side combine and a join back, which splits hot
@@ -41,14 +41,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import materialize
-from .common import Chunk, chunks, pick
+from ..storage import discard, materialize
+from .common import Chunk, chunks, mix, pick
 
 LENGTH = 20
 #: Words of an anchor.
 ANCHOR = 6
-#: One word in so many is a cut.
-SEGMENT = 64
+#: One anchor in so many begins a segment.
+RUNS = 8
+
+
+def _leftmost_minima(values: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of each ``n`` values on end and the first place where it stands, by doubling."""
+    least, where, span = values, np.arange(len(values)), 1
+    while span < n and len(least):
+        step = min(span, n - span)
+        right = least[step:] < least[:-step]
+        least, where = np.where(right, least[step:], least[:-step]), np.where(right, where[step:], where[:-step])
+        span += step
+    return least, where
 
 
 class _Windows:
@@ -63,18 +74,15 @@ class _Windows:
         self.start = self.at - chunk.words[self.doc]
         gram = np.full(len(words), np.iinfo(np.uint64).max, np.uint64)
         gram[gram_at] = grams
-        cut = (gram[self.at] % np.uint64(SEGMENT) == 0) | (self.start == 0)
+        least, where = _leftmost_minima(gram, length - k + 1)
+        self.anchor, self.anchor_at = least[self.at], where[self.at]
+        moved = np.append(True, np.diff(self.anchor_at) != 0)[: len(self.at)]
+        cut = (moved & (self.anchor % np.uint64(RUNS) == 0)) | (self.start == 0)
         self.segment = np.cumsum(cut) - 1
         self.first = np.flatnonzero(cut)
         self.count = np.bincount(self.segment, minlength=len(self.first))
         a = self.at[self.first]
         self.segment_hash = chunk.range_hash(words, a, a + self.count + length - 1)
-        if len(self.at):
-            seen = np.lib.stride_tricks.sliding_window_view(gram, length - k + 1)
-            self.anchor_at = self.at + seen[self.at].argmin(1)
-        else:
-            self.anchor_at = self.at
-        self.anchor = gram[self.anchor_at]
 
 
 def _batch(schema: T.StructType, *columns: pa.Array | np.ndarray) -> pa.RecordBatch:
@@ -110,13 +118,10 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 w = _Windows(chunk, length)
                 if not len(w.at):
                     continue
-                place = np.unique(np.stack([w.segment, w.anchor_at], 1), axis=0) if len(w.at) else np.zeros((0, 2), int)
-                pair = np.empty(len(place), [("anchor", np.uint64), ("seg", np.uint64), ("of", np.int64)])
-                gram = np.zeros(len(chunk.starts), np.uint64)
-                gram[w.anchor_at] = w.anchor
-                pair["anchor"], pair["seg"], pair["of"] = gram[place[:, 1]], w.segment_hash[place[:, 0]], place[:, 0]
-                pair, n = np.unique(pair, return_counts=True)
-                yield _batch(schema, pair["anchor"].copy(), pair["seg"].copy(), (n > 1).astype(np.int64))
+                new = np.append(True, (np.diff(w.segment) != 0) | (np.diff(w.anchor_at) != 0))
+                anchor, of = w.anchor[new], w.segment[new]
+                _, at, n = np.unique(anchor ^ mix(of), return_index=True, return_counts=True)
+                yield _batch(schema, anchor[at], w.segment_hash[of[at]], (n > 1).astype(np.int64))
 
     return docs.select("text").mapInArrow(run, schema)
 
@@ -184,15 +189,17 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     again = again.select(F.col("h").alias("h1"), F.col("first.doc").alias("doc1"), F.col("first.start").alias("start1"))
     later = windows.join(again, F.col("h") == F.col("h1")).where(~(F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("start") == F.col("start1"))))
     gone = dropped.unionByName(later.select("doc", "fp", "start", F.lit(1).cast("long").alias("n")))
-    return gone.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    gone = materialize(gone.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "n")).alias("gone")), "gone")
+    discard(dropped, look, windows)
+    return gone
 
 
 def _cut(docs: DataFrame, length: int, names: list[str]) -> DataFrame:
-    """``docs`` has an id, the text and ``gone`` last; returns id, n_words, n_removed, spans and the text that is left."""
+    """``docs`` has an id, the text, ``gone`` and further columns; returns id, n_words, n_removed, spans, the text that is left and the further columns, as ``names``."""
     schema = T.StructType([
-        docs.schema[0], T.StructField(names[1], T.LongType()), T.StructField(names[2], T.LongType()),
-        T.StructField(names[3], T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]), False)),
-        T.StructField(names[4], T.StringType()),
+        docs.schema[0], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()),
+        T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]), False)),
+        T.StructField("text", T.StringType()), *docs.schema[3:],
     ])
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -220,17 +227,17 @@ def _cut(docs: DataFrame, length: int, names: list[str]) -> DataFrame:
                         at = y
                     left[i] = b"".join([*pieces, raw[at : chunk.off[i + 1]].tobytes()]).decode()
                 out = texts if left is None else pa.array(left, texts.type)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, chunk.n), pa.array(chunk.n_words), pa.array(lost), pa.array(spans, span), out], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, chunk.n), pa.array(chunk.n_words), pa.array(lost), pa.array(spans, span), out, *(c.slice(part.start, chunk.n) for c in batch.columns[3:])], schema.fieldNames())
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names)
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """Each row's id, ``n_words``, ``n_removed``, removed word ``spans`` [start, end) and the ``text`` left.
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's id, ``n_words``, ``n_removed``, removed word ``spans`` [start, end), the ``text`` left, and the columns to ``keep``.
 
     What is left keeps its own white space; a null text stays null.
     """
-    docs = pick(df, id_col, text_col).toDF("doc", "text").select("doc", F.xxhash64("text").alias("fp"), "text")
-    gone = repeated(docs, length)
-    joined = docs.join(gone.hint("shuffle_hash"), _same_doc(docs, gone), "left").select(docs["doc"].alias(id_col), docs["text"], gone["gone"])
-    return _cut(joined, length, [id_col, "n_words", "n_removed", "spans", text_col])
+    rows = pick(df, id_col, text_col, *keep).toDF("doc", "text", *[f"keep{i}" for i in range(len(keep))]).withColumn("fp", F.xxhash64("text"))
+    gone = repeated(rows.select("doc", "fp", "text"), length)
+    joined = rows.join(gone.hint("shuffle_hash"), _same_doc(rows, gone), "left").select(rows["doc"], rows["text"], gone["gone"], *[rows[f"keep{i}"] for i in range(len(keep))])
+    return _cut(joined, length, [id_col, "n_words", "n_removed", "spans", text_col, *keep])
