@@ -197,7 +197,7 @@ def score(df: DataFrame, vocab: Vocabulary, weights: np.ndarray, id_col: str = "
             for part, chunk in _lowered(batch.column(1)):
                 ids = vocab.ids(chunk)
                 each = net.log_prob(_around(chunk, ids), ids)
-                total = np.bincount(chunk.doc_of_word, each, chunk.n)
+                total = np.bincount(chunk.doc_of_word, each, chunk.n).astype(np.float64)
                 mean = total / np.maximum(chunk.n_words, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, chunk.n), pa.array(chunk.n_words), pa.array(total), pa.array(mean, mask=chunk.n_words == 0)], schema.fieldNames())
 

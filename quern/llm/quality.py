@@ -209,4 +209,5 @@ def keep(df: DataFrame, text_col: str = "text", rules: Sequence[Rule] = RULES, s
             if good:
                 yield batch.filter(pa.array(np.concatenate(good)))
 
-    return df.mapInArrow(run, df.schema)
+    held = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    return held.mapInArrow(run, held.schema).toDF(*df.columns)
