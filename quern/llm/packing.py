@@ -23,7 +23,6 @@ import gc
 import os
 import struct
 from collections.abc import Callable, Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pick, text_buffers
+from .common import Chunk, pick, prefix, text_buffers
 
 #: Tokens of one packing window at least, unless the partition ends.
 WINDOW_TOKENS = 1 << 21
 #: Words whose ids a worker remembers at most.
-MEMO_WORDS = 500_000
+MEMO_WORDS = 800_000
+#: Bytes of the words that stay when there are more: short words are the frequent ones.
+MEMO_SHORT = 8
 #: Bytes of one document that are split into words at a time.
 SEGMENT_BYTES = 1 << 20
 #: Bytes of text encoded together.
-BATCH_BYTES = 1 << 21
+BATCH_BYTES = 1 << 22
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> np.ndarray:
@@ -92,6 +93,11 @@ class _Loaded:
 
     def parts_of(self, raw: bytes) -> list[str] | None:
         """The word's parts in lower case; None where only the whole tokenizer can say."""
+        if raw.isalpha():  # true of ASCII letters only
+            return [raw.lower().decode()]
+        if raw[:-1].isalpha() and raw[-1] in b".,;:!?":
+            low = raw.lower().decode()
+            return [low[:-1], low[-1]]
         word = raw.decode()
         if not raw.isascii() and max(word) >= "\u0250":
             return None
@@ -105,7 +111,7 @@ class _Loaded:
     def learn(self, new: list[bytes]) -> None:
         """Remember the ids of words not met before."""
         if len(self.known) > MEMO_WORDS:
-            self.known.clear()
+            self.known = {p: ids for p, ids in self.known.items() if len(p) <= MEMO_SHORT}
         known, cuts = self.known, [*map(self.parts_of, new)]
         parts = list({p for cut in cuts if cut for p in cut}.difference(known))
         for a in range(0, len(parts), 1000):
@@ -139,52 +145,44 @@ class WordEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         if path not in _loaded:
             _loaded[path] = _Loaded(path)
-        self.loaded, self.memo = _loaded[path], _loaded[path].words
+        self.loaded = _loaded[path]
         self.end = np.array([end_id], "<u4").tobytes()
 
-    def _segments(self, raw: memoryview) -> Iterator[bytes]:
-        a = 0
-        while a < len(raw):
-            b = min(len(raw), a + SEGMENT_BYTES)
-            part = bytes(raw[a:b])
-            while b < len(raw) and (cut := max(part.rfind(b" "), part.rfind(b"\n"))) < 0:
-                b = min(len(raw), b + SEGMENT_BYTES)
-                part = bytes(raw[a:b])
-            if b < len(raw):
-                part = part[: cut + 1]
-            yield part
-            a += len(part)
-
-    def encode(self, texts: list[memoryview]) -> list[bytes]:
-        """Little-endian ids of each UTF-8 text, the end id last."""
-        collecting = gc.isenabled()
-        gc.disable()  # the many short lists made here hold no cycles; looking for some takes a third of the time
-        try:
-            return self._encode(texts)
-        finally:
-            if collecting:
-                gc.enable()
-
-    def _encode(self, texts: list[memoryview]) -> list[bytes]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        split = [bytes(t).split() if len(t) <= SEGMENT_BYTES else None for t in texts]
-        self._learn(set(chain.from_iterable(filter(None, split))))
-        return [self._ids(words) + self.end if words is not None else self._long(t) for t, words in zip(texts, split, strict=True)]
-
-    def _ids(self, words: list[bytes]) -> bytes:
-        return b"".join(map(self.memo.__getitem__, words))
-
-    def _long(self, text: memoryview) -> bytes:
-        out = []
-        for words in map(bytes.split, self._segments(text)):
-            self._learn(set(words))
-            out.append(self._ids(words))
-        return b"".join(out) + self.end
-
-    def _learn(self, words: set[bytes]) -> None:
-        if new := words.difference(self.memo):
-            self.loaded.learn(list(new))
+    def encode(self, raw: np.ndarray, off: np.ndarray) -> list[bytes]:
+        """Little-endian ids of each UTF-8 text ``raw[off[i]:off[i + 1]]``, the end id last."""
+        if len(self.loaded.words) > MEMO_WORDS:
+            self.loaded.words = {w: ids for w, ids in self.loaded.words.items() if len(w) <= MEMO_SHORT}
+        if off[-1] - off[0] > 2 * SEGMENT_BYTES and len(off) == 2:
+            return [b"".join(self._ids(np.ascontiguousarray(part))[0] for part in segments(raw[off[0] : off[1]])) + self.end]
+        ids, at = self._ids(raw[off[0] : off[-1]], off - off[0])
+        return [ids[4 * i : 4 * j] + self.end for i, j in zip(at[:-1], at[1:], strict=True)]
+
+    def _ids(self, data: np.ndarray, off: np.ndarray | None = None) -> tuple[bytes, list[int]]:
+        """Ids of all texts on end, and each one's place there. Each distinct word of them is looked up once."""
+        chunk = Chunk(data, np.array([0, len(data)]) if off is None else off)
+        _, first, which = np.unique(chunk.word_hash(), return_index=True, return_inverse=True)
+        text, starts, ends = data.tobytes(), chunk.starts[first].tolist(), chunk.ends[first].tolist()
+        words = [text[a:b] for a, b in zip(starts, ends, strict=True)]
+        found = [*map(self.loaded.words.get, words)]
+        if new := [w for w, ids in zip(words, found, strict=True) if ids is None]:
+            self.loaded.learn(new)
+            found = [*map(self.loaded.words.__getitem__, words)]
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        n = size[which]
+        to = prefix(n)
+        take = np.repeat((np.cumsum(size) - size)[which] - to[:-1], n) + np.arange(to[-1])
+        return flat[take].tobytes(), to[chunk.words].tolist()
+
+
+def segments(data: np.ndarray) -> Iterator[np.ndarray]:
+    """A long text in parts that end where white space does, of about ``SEGMENT_BYTES``."""
+    blank, a = np.flatnonzero((data == 0x20) | (data == 0x0A)), 0
+    while a < len(data):
+        k = np.searchsorted(blank, a + SEGMENT_BYTES)
+        b = int(blank[k]) + 1 if k < len(blank) else len(data)
+        yield data[a:b]
+        a = b
 
 
 def pack(
@@ -206,6 +204,13 @@ def pack(
     docs = pick(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # words and ids hold no cycles; looking for some among them takes a third of the time
+        try:
+            yield from packed(batches)
+        finally:
+            gc.enable()
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, first = encoder(), TaskContext.get().partitionId() << 32
         ids, held, tokens = [], [], 0
 
@@ -222,10 +227,10 @@ def pack(
         for batch in batches:
             id_type = batch.schema.field(0).type
             raw, off = text_buffers(batch.column(1))
-            keys, view, a = batch.column(0).to_pylist(), memoryview(raw), 0
+            keys, a = batch.column(0).to_pylist(), 0
             while a < len(keys):
                 b = max(a + 1, int(np.searchsorted(off, off[a] + BATCH_BYTES, "right")) - 1)
-                new = enc.encode([view[off[i] : off[i + 1]] for i in range(a, min(b, len(keys)))])
+                new = enc.encode(raw, off[a : min(b, len(keys)) + 1])
                 ids += keys[a:b]
                 held += new
                 tokens += sum(map(len, new)) // 4
