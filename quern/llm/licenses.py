@@ -23,6 +23,7 @@ an empty table; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import Column, DataFrame
@@ -60,6 +61,11 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(f"([^{_OTHER}]+)"), F.lit(1))
 
 
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is made once, however often a lambda within names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _distinct(template: str) -> list[str]:
     kept = "".join(c if c.isalnum() else " " for c in template.lower())
     return list(dict.fromkeys(kept.split()))
@@ -98,28 +104,28 @@ def _matches(text: Column, order: list[str], templates: dict[str, str], threshol
         i, j = F.array_position(own, shared), F.array_position(b, shared)
         return (F.size(b) >= t["need"]) & shared.isNotNull() & (1 + F.least(F.size(own) - i, F.size(b) - j) >= t["need"])
 
-    def found(t: Column) -> Column:
+    def found(t: Column, blocks: Column) -> Column:
         likely = F.filter(blocks, lambda b: passes(b, t))
         full = F.transform(likely, lambda b: F.struct(b["block"].alias("block"), t["name"].alias("template"), (F.size(F.array_intersect(b["ranks"], t["ranks"])) / F.size(t["ranks"])).alias("containment")))
         return F.filter(full, lambda m: m["containment"] * F.size(t["ranks"]) >= t["need"] - F.lit(1e-9))
 
     none = F.array().cast("array<struct<block:int,template:string,containment:double>>")
-    return F.coalesce(F.when(may, F.flatten(F.transform(F.array(*known), found))), none)
+    return F.coalesce(F.when(may, _bind(blocks, lambda bs: F.flatten(F.transform(F.array(*known), lambda t: found(t, bs))))), none)
 
 
 def _places(text: Column, phrases: dict[str, str]) -> Column:
     """array<struct<word, label>> of the phrases' places."""
     ends = {p.split()[-2] for p in phrases}
     may = text.rlike(f"(?i)(?:{'|'.join(sorted(ends))})[{_OTHER}]+(?:{'|'.join(sorted({p.split()[-1] for p in phrases}))})")
-    words = _words(text)
+    none = F.array().cast("array<struct<word:bigint,label:string>>")
 
-    def at(phrase: str, label: str) -> Column:
+    def at(words: Column, phrase: str, label: str) -> Column:
         own = phrase.split()
         starts = F.filter(F.sequence(F.lit(0), F.size(words) - len(own)), lambda i: _all(F.get(words, i + k) == w for k, w in enumerate(own)))
         return F.when(F.size(words) >= len(own), F.transform(starts, lambda i: F.struct(i.cast("long").alias("word"), F.lit(label).alias("label"))))
 
-    none = F.array().cast("array<struct<word:bigint,label:string>>")
-    return F.coalesce(F.when(may, F.flatten(F.array(*[F.coalesce(at(p, x), none) for p, x in phrases.items()]))), none)
+    found = lambda words: F.flatten(F.array(*[F.coalesce(at(words, p, x), none) for p, x in phrases.items()]))
+    return F.coalesce(F.when(may, _bind(_words(text), found)), none)
 
 
 def _all(tests) -> Column:
