@@ -94,10 +94,10 @@ def contains(parent: Column | str, chunk: Column | str) -> Column:
     return F.contains(_col(parent), _col(chunk))
 
 
-def longest_overlap(left: Column | str, right: Column | str, most: int = 400) -> Column:
-    """Characters of the longest end of ``left`` with which ``right`` begins, up to ``most``."""
+def longest_overlap(left: Column | str, right: Column | str) -> Column:
+    """Characters of the longest end of ``left`` with which ``right`` begins."""
     a, b = _col(left), _col(right)
-    lengths = F.sequence(F.lit(0), F.least(F.length(a), F.length(b), F.lit(most)))
+    lengths = F.sequence(F.lit(0), F.least(F.length(a), F.length(b)))
     return F.array_max(F.filter(lengths, lambda n: (n == 0) | (F.substr(b, F.lit(1), n) == F.right(a, n))))
 
 

@@ -57,11 +57,19 @@ def extract_answer(spark, sf_dir):
     return found.select("qid", "a.answer", "a.sentences", F.round("a.score", 6).alias("score"), F.round("a.coverage", 6).alias("coverage"))
 
 
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a benchmark text as a claim to be held against it."""
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("qid"))
+    return docs.join(views.questions(spark, sf_dir).select("qid", F.col("text").alias("claim")), "qid")
+
+
+_CLAIMS = f"(SELECT d.doc_id, list_distinct({terms_sql('q.text')}) AS a, list_distinct({terms_sql('d.text')}) AS c FROM documents d JOIN {QUESTIONS} q ON q.qid = d.doc_id % 40"
+
+
 @query(f"""SELECT doc_id, CASE WHEN len(a) = 0 OR len(c) = 0 THEN 0.0 ELSE round(len(list_filter(a, lambda x: list_contains(c, x))) / len(a), 6) END AS grounded
-  FROM (SELECT doc_id, list_distinct({terms_sql('substr(text, 1, 300)')}) AS a, list_distinct({terms_sql('substr(text, 200, 600)')}) AS c FROM documents)""")
+  FROM {_CLAIMS})""")
 def groundedness(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", F.round(answers.groundedness(F.substring("text", 1, 300), F.substring("text", 200, 600)), 6).alias("grounded"))
+    return claims(spark, sf_dir).select("doc_id", F.round(answers.groundedness(F.col("claim"), F.col("text")), 6).alias("grounded"))
 
 
 ASKED = [
@@ -103,7 +111,7 @@ def guard_retrieval(spark, sf_dir):
 
 @query("""SELECT qid, CASE WHEN s >= 0.010 AND g >= 0.030 THEN 'high' WHEN s >= 0.006 OR g >= 0.020 THEN 'medium' ELSE 'low' END AS level, round(s, 6) AS std, round(g, 6) AS gap
   FROM (SELECT qid, stddev_pop(score) AS s, max(score) - max(score) FILTER (rank = 10) AS g FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank
-    FROM (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 10 = 0) QUALIFY rank <= 20) GROUP BY qid)""")
+    FROM (SELECT q.vec_id AS qid, v.vec_id AS chunk_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) QUALIFY rank <= 20) GROUP BY qid)""")
 def retrieval_confidence(spark, sf_dir):
     from ..operators import dense
 
@@ -124,11 +132,11 @@ def guard_generation(spark, sf_dir):
 
 @query(f"""SELECT doc_id, reason IN ('ok', 'language_mismatch') AS allowed, reason FROM (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'invalid_citations'
   WHEN (CASE WHEN len(a) = 0 OR len(c) = 0 THEN 0.0 ELSE len(list_filter(a, lambda x: list_contains(c, x))) / len(a) END) < 0.45 THEN 'ungrounded_answer' ELSE 'ok' END AS reason
-  FROM (SELECT doc_id, list_distinct({terms_sql('substr(text, 1, 300)')}) AS a, list_distinct({terms_sql('substr(text, 200, 600)')}) AS c FROM documents))""")
+  FROM {_CLAIMS}))""")
 def guard_answer(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents")
+    docs = claims(spark, sf_dir)
     cited = F.array(F.when(F.col("doc_id") % 7 == 0, "other").otherwise("known"))
-    verdict = answers.guard_answer(F.substring("text", 1, 100), F.substring("text", 1, 300), F.substring("text", 200, 600), cited, F.array(F.lit("known")))
+    verdict = answers.guard_answer(F.col("claim"), F.col("claim"), F.col("text"), cited, F.array(F.lit("known")))
     return docs.select("doc_id", verdict.alias("g")).select("doc_id", "g.allowed", "g.reason")
 
 

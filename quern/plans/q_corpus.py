@@ -239,11 +239,11 @@ def chunk_stats(spark, sf_dir):
     return chunking.chunk_stats(fixed_chunks(spark, sf_dir), "lang")
 
 
-@query(f"""SELECT doc_id, CAST(len(list_filter(range(1, len(c)), lambda i: list_contains(list_transform(range(1, least(length(c[i]), length(c[i + 1]), 200) + 1), lambda n: right(c[i], n) = left(c[i + 1], n)), true))) AS INT) AS overlapping
-  FROM (SELECT doc_id, {_fixed_sql('text', 64, 8)} AS c FROM documents WHERE doc_id % 20 = 0)""")
+@query(f"""SELECT doc_id, CAST(len(list_filter(range(1, len(c)), lambda i: list_contains(list_transform(range(1, least(length(c[i]), length(c[i + 1])) + 1), lambda n: right(c[i], n) = left(c[i + 1], n)), true))) AS INT) AS overlapping
+  FROM (SELECT doc_id, {_fixed_sql('text', 64, 8)} AS c FROM documents)""")
 def chunk_overlap(spark, sf_dir):
-    rows = views.table(spark, sf_dir, "documents").where("doc_id % 20 = 0").select("doc_id", chunking.fixed("text", 64, 8).alias("c"))
-    pairs = F.filter(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: text.longest_overlap(a, b, 200)), lambda n: n > 0)
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", chunking.fixed("text", 64, 8).alias("c"))
+    pairs = F.filter(F.zip_with(F.slice("c", 1, F.size("c") - 1), F.slice("c", 2, F.size("c")), lambda a, b: text.longest_overlap(a, b)), lambda n: n > 0)
     return rows.select("doc_id", F.when(F.size("c") < 2, 0).otherwise(F.size(pairs)).alias("overlapping"))
 
 

@@ -90,7 +90,7 @@ def bm25_restricted(spark, sf_dir):
 
 # ---- vectors -----------------------------------------------------------------
 
-_PAIRS = f"(SELECT q.vec_id AS qid, q.label AS qlabel, v.vec_id AS chunk_id, v.label, round({DOT.format(a='q.embedding', b='v.embedding')}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 10 = 0)"
+_PAIRS = f"(SELECT q.vec_id AS qid, q.label AS qlabel, v.vec_id AS chunk_id, v.label, round({DOT.format(a='q.embedding', b='v.embedding')}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"
 _KNN = "SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INT) AS rank, chunk_id, score FROM {t} QUALIFY rank <= {k}"
 
 

@@ -10,7 +10,6 @@ from ..functions.text import count_tokens
 from .registry import quoted
 
 LANGUAGES = [("de", "Latin"), ("en", "Latin"), ("es", "Latin"), ("fr", "Latin")]
-QUESTION_CHARS = 120
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,7 +32,7 @@ def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, QUESTION_CHARS).alias("text"))
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +40,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").where("vec_id % 10 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
+    return table(spark, sf_dir, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qvec"), F.col("label").alias("qlabel"))
 
 
 def lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ def nested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 PASSAGES = """(SELECT d.doc_id AS document_id, d.doc_id // 10 AS query_id, CAST(d.doc_id % 10 AS INT) AS passage_index, d.lang,
   coalesce(l.quality, 0) AS is_selected, d.text, d.source FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)"""
-QUESTIONS = f"(SELECT item_id AS qid, substr(text, 1, {QUESTION_CHARS}) AS text FROM benchmark)"
+QUESTIONS = "(SELECT item_id AS qid, text FROM benchmark)"
 LENGTHS = r"(SELECT doc_id, lang, len(regexp_extract_all(text, '\S+')) AS n_tokens, length(text) AS n_chars FROM documents)"
 
 
