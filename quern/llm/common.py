@@ -148,22 +148,28 @@ class Chunk:
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes and offsets of a string column; a null counts as empty."""
+    """Bytes and offsets of a string column, not copied unless it holds nulls; a null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    if column.null_count:
+        column = pc.fill_null(column, "")
     _, offsets, data = column.buffers()
-    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    wide = np.int64 if pa.types.is_large_string(column.type) else np.int32
+    off = np.frombuffer(offsets, wide)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, wide)
     raw = np.zeros(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)
-    return raw, off
+    return raw, off.astype(np.int64)
 
 
-def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[slice, Chunk]]:
-    """The column's documents in runs of about ``most`` bytes; a longer document comes alone and whole."""
-    raw, off = text_buffers(column)
+def runs(raw: np.ndarray, off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[slice, Chunk]]:
+    """Texts in runs of about ``most`` bytes; a longer one comes alone and whole."""
     a, n = 0, len(off) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
         b = min(b, n)
         yield slice(a, b), Chunk(raw[off[a] : off[b]], off[a : b + 1] - off[a])
         a = b
+
+
+def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[slice, Chunk]]:
+    """A column's documents in runs."""
+    return runs(*text_buffers(column), most)

@@ -30,12 +30,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Chunk, pick, prefix, text_buffers
+from .common import pick, prefix, runs, text_buffers
 
 #: Tokens of one packing window at least, unless the partition ends.
 WINDOW_TOKENS = 1 << 21
 #: Words whose ids a worker remembers at most.
-MEMO_WORDS = 800_000
+MEMO_WORDS = 600_000
 #: Bytes of the words that stay when there are more: short words are the frequent ones.
 MEMO_SHORT = 8
 #: Bytes of one document that are split into words at a time.
@@ -159,9 +159,11 @@ class WordEncoder:
 
     def _ids(self, data: np.ndarray, off: np.ndarray | None = None) -> tuple[bytes, list[int]]:
         """Ids of all texts on end, and each one's place there. Each distinct word of them is looked up once."""
-        chunk = Chunk(data, np.array([0, len(data)]) if off is None else off)
-        _, first, which = np.unique(chunk.word_hash(), return_index=True, return_inverse=True)
-        text, starts, ends = data.tobytes(), chunk.starts[first].tolist(), chunk.ends[first].tolist()
+        off = np.array([0, len(data)]) if off is None else off
+        parts = [(c.word_hash(), c.starts + off[s.start], c.ends + off[s.start], c.n_words) for s, c in runs(data, off)]
+        word, starts, ends, n_words = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else [np.zeros(0, np.int64)] * 4
+        _, first, which = np.unique(word, return_index=True, return_inverse=True)
+        text, starts, ends = data.tobytes(), starts[first].tolist(), ends[first].tolist()
         words = [text[a:b] for a, b in zip(starts, ends, strict=True)]
         found = [*map(self.loaded.words.get, words)]
         if new := [w for w, ids in zip(words, found, strict=True) if ids is None]:
@@ -172,7 +174,7 @@ class WordEncoder:
         n = size[which]
         to = prefix(n)
         take = np.repeat((np.cumsum(size) - size)[which] - to[:-1], n) + np.arange(to[-1])
-        return flat[take].tobytes(), to[chunk.words].tolist()
+        return flat[take].tobytes(), to[prefix(n_words)].tolist()
 
 
 def segments(data: np.ndarray) -> Iterator[np.ndarray]:
