@@ -10,10 +10,10 @@ over all documents, have an id each; any other counts as its shape (letters,
 digits, marks or letters beyond ASCII, and length). Counting moves one row for
 each distinct word and task; the driver gets the most frequent ones only.
 
-Training is local and averaged: in each of ``ROUNDS`` rounds every task takes
-its own share of the documents (``1 / SHARE`` of all, by a hash of the text, so
-that what is learned from grows with the input) through stochastic gradient
-descent from common weights; sums of weights times tokens are formed in Spark,
+Training is local and averaged: the ``ROUNDS`` rounds part all documents among
+them by a hash of id and text, so that each document trains the network once and
+copies of a text are spread over the rounds; in each round every task takes its
+own documents through stochastic gradient descent from common weights; sums of weights times tokens are formed in Spark,
 one row for each weight and task, and their means start the next round.
 
 Edge cases: a null or empty text has no tokens and a sum of 0, and no mean; a
@@ -36,7 +36,7 @@ from pyspark.sql import types as T
 from .common import Chunk, chunks, lookup, pick, prefix
 
 WORDS, HIDDEN, SIDE = 160, 24, 2
-ROUNDS, SHARE, RATE, BATCH = 3, 16, 0.5, 256
+ROUNDS, RATE, BATCH = 3, 0.5, 256
 #: Tokens scored together, and words counted together at least.
 STEP, COUNT_WORDS = 4096, 2_000_000
 #: Kinds of shape times lengths (1 to 7, 8 and more).
@@ -134,19 +134,22 @@ class Network:
 
     def train(self, around: np.ndarray, token: np.ndarray) -> None:
         """One pass in the given order."""
+        near, vocab = self.near.reshape(-1), self.near.shape[1]
+        place, rate = (around + vocab * np.arange(2 * SIDE)) * HIDDEN, np.float32(RATE / BATCH)
         for a in range(0, len(token), BATCH):
-            c, t = around[a : a + BATCH], token[a : a + BATCH]
-            h = self.hidden(c)
-            z = h @ self.out + self.bias
-            z = np.exp(z - z.max(1, keepdims=True))
-            z /= z.sum(1, keepdims=True)
-            z[np.arange(len(t)), t] -= 1
-            z *= np.float32(RATE / BATCH)
+            t = token[a : a + BATCH]
+            h = self.hidden(around[a : a + BATCH])
+            z = h @ self.out
+            z += self.bias
+            z -= z.max(1, keepdims=True)
+            np.exp(z, out=z)
+            z *= rate / z.sum(1, keepdims=True)
+            z[np.arange(len(t)), t] -= rate
             back = (z @ self.out.T) * (1 - h * h)
             self.out -= h.T @ z
             self.bias -= z.sum(0)
-            for k in range(2 * SIDE):
-                np.subtract.at(self.near[k], c[:, k], back)
+            at = (place[a : a + BATCH].T[:, :, None] + np.arange(HIDDEN)).ravel()
+            near -= np.bincount(at, np.broadcast_to(back, (2 * SIDE, *back.shape)).ravel(), len(near)).astype(np.float32)
 
 
 def _around(chunk: Chunk, ids: np.ndarray) -> np.ndarray:
@@ -160,9 +163,21 @@ def _around(chunk: Chunk, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(df: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: int = ROUNDS, share: int = SHARE) -> np.ndarray:
-    """The network's weights after all rounds."""
-    docs, weights = pick(df, text_col), Network(vocab.size).flat.astype(np.float64)
+def _share(docs: DataFrame, turn: int, share: int) -> DataFrame:
+    """The rows whose hash over all columns falls in a round's share."""
+    return docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(share)) == turn % share)
+
+
+def fit(df: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: int = ROUNDS, share: int | None = None, id_col: str = "doc_id") -> np.ndarray:
+    """The network's weights after all rounds, each over ``1 / share`` of the documents.
+
+    ``share`` must divide ``rounds``, so that all documents are met equally often:
+    once as it is, in every round if it is 1.
+    """
+    share = share or rounds
+    if rounds % share:
+        raise ValueError(f"{rounds} rounds over 1/{share} of the documents each do not meet all documents equally often")
+    docs, weights = pick(df, id_col, text_col), Network(vocab.size).flat.astype(np.float64)
     for turn in range(rounds):
         start = weights
 
@@ -177,7 +192,7 @@ def fit(df: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: int =
             if seen:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(net.flat))), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(len(net.flat), float(seen)))], ["at", "w", "n"])
 
-        part = docs.where(F.pmod(F.xxhash64(text_col), F.lit(share * rounds)) % share == turn) if share > 1 else docs
+        part = _share(docs, turn, share).select(text_col)
         sums = part.mapInArrow(run, "at long, w double, n double").groupBy("at").agg(F.sum("w") / F.sum("n")).collect()  # a row for each weight
         if sums:
             weights = np.empty(len(weights))

@@ -174,6 +174,22 @@ def test_lmscore_prefers_texts_like_the_corpus(spark):
     assert got[1].mean_log_prob > got[2].mean_log_prob + 1
 
 
+def test_lmscore_trains_on_every_document(spark):
+    docs = spark.createDataFrame([(i, f"only{i} " * 30) for i in range(60)], "doc_id long, text string")
+    vocab = lmscore.vocabulary(docs)
+    before, after = lmscore.Network(vocab.size), lmscore.Network(vocab.size, lmscore.fit(docs, vocab))
+    assert len(vocab.hashes) == 60
+    assert (before.near != after.near).any(2)[:, 1 : 1 + 60].all()  # each word stands in one document only
+    with pytest.raises(ValueError):
+        lmscore.fit(docs, vocab, rounds=3, share=16)
+
+
+def test_lmscore_spreads_copies_over_the_rounds(spark):
+    docs = spark.createDataFrame([(i, "one text in many copies") for i in range(90)], "doc_id long, text string")
+    parts = [{r.doc_id for r in lmscore._share(docs, turn, lmscore.ROUNDS).collect()} for turn in range(lmscore.ROUNDS)]
+    assert all(parts) and sorted(d for p in parts for d in p) == list(range(90))
+
+
 def test_lmscore_of_nothing(none, nulls):
     vocab = lmscore.vocabulary(none)
     weights = lmscore.fit(none, vocab)
