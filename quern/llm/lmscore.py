@@ -5,10 +5,20 @@ it; a document's score is the sum over all its tokens of the logarithm of the
 probability given to the token that stands there. The network is trained in
 numpy: one hidden layer over the neighbours' vectors, a softmax over the tokens.
 
-Tokens are words, lower-case in A-Z. The ``WORDS`` most frequent ones, counted
-over all documents, have an id each; any other counts as its shape (letters,
-digits, marks or letters beyond ASCII, and length). Counting moves one row for
-each distinct word and task; the driver gets the most frequent ones only.
+Tokens are words, lower-case in A-Z. The network tells the ``WORDS`` most
+frequent ones apart and sees any other as its shape (letters, digits, marks or
+letters beyond ASCII, and length). The probability of such a word is that of its
+shape, by the network, times its own among all words of the shape, by its count
+over all documents. Each word that occurs ``FLOOR`` times or more has its own
+count, so their table grows with the corpus; rarer ones share the mass of their
+kind evenly, with one more for all that the corpus does not hold, so over words
+the probabilities sum to one. What is left out: the neighbours have no say in
+which word of a shape it is, and rare words of a shape are alike.
+
+Counting moves one row for each distinct word and task; for each word of the
+table the driver gets 32 bytes and a scoring worker holds about 14. A word's
+key is a hash of 59 bits with its shape in the rest; of ten million words two
+are mistaken for each other with a chance of 1e-4.
 
 Training is local and averaged: the ``ROUNDS`` rounds part all documents among
 them by a hash of id and text, so that each document trains the network once and
@@ -24,11 +34,12 @@ gives an untrained network and an empty table; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +48,8 @@ from .common import Chunk, chunks, lookup, pick, prefix
 
 WORDS, HIDDEN, SIDE = 160, 24, 2
 ROUNDS, RATE, BATCH = 3, 0.5, 256
+#: Words that occur so often have a count of their own.
+FLOOR = 4
 #: Tokens scored together, and words counted together at least.
 STEP, COUNT_WORDS = 4096, 2_000_000
 #: Kinds of shape times lengths (1 to 7, 8 and more).
@@ -54,9 +67,22 @@ def _lowered(column: pa.Array) -> Iterator[tuple[slice, Chunk]]:
         yield part, Chunk(_LOWER[chunk.data], chunk.off)
 
 
+def _keys(chunk: Chunk) -> np.ndarray:
+    """Of each word: its hash, with its shape in the low bits."""
+    within = lambda kind: (lambda s: s[chunk.ends] - s[chunk.starts])(prefix(kind[chunk.data]))
+    length = chunk.ends - chunk.starts
+    kind = np.where(within(_DIGIT) > 0, 1, np.where(within(_LETTER) + within(_HIGH) < length, 2, np.where(within(_HIGH) > 0, 3, 0)))
+    shape = 8 * kind + np.minimum(length, 8) - 1
+    return chunk.word_hash() & ~np.uint64(SHAPES - 1) | shape.astype(np.uint64)
+
+
+def _shape(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(SHAPES - 1)).astype(np.int64)
+
+
 @dataclass(frozen=True)
 class Vocabulary:
-    """Hashes of the frequent words, ascending. Ids: 0 beyond the ends, then words, then shapes."""
+    """Keys of the frequent words, ascending. Ids: 0 beyond the ends, then words, then shapes."""
 
     hashes: np.ndarray
 
@@ -64,21 +90,45 @@ class Vocabulary:
     def size(self) -> int:
         return 1 + len(self.hashes) + SHAPES
 
-    def ids(self, chunk: Chunk) -> np.ndarray:
-        word = chunk.word_hash()
-        at = np.searchsorted(self.hashes, word)
-        known = np.zeros(len(word), bool)
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.hashes, keys)
+        known = np.zeros(len(keys), bool)
         if len(self.hashes):
-            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == word
-        within = lambda kind: (lambda s: s[chunk.ends] - s[chunk.starts])(prefix(kind[chunk.data]))
-        length = chunk.ends - chunk.starts
-        kind = np.where(within(_DIGIT) > 0, 1, np.where(within(_LETTER) + within(_HIGH) < length, 2, np.where(within(_HIGH) > 0, 3, 0)))
-        shape = 1 + len(self.hashes) + 8 * kind + np.minimum(length, 8) - 1
-        return np.where(known, 1 + at, shape)
+            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == keys
+        return np.where(known, 1 + at, 1 + len(self.hashes) + _shape(keys))
+
+    def ids(self, chunk: Chunk) -> np.ndarray:
+        return self.of(_keys(chunk))
 
 
-def vocabulary(df: DataFrame, text_col: str = "text", words: int = WORDS) -> Vocabulary:
-    """The most frequent words of all documents; ties by hash."""
+@dataclass(frozen=True)
+class Lexicon:
+    """Log probabilities of words among those of their shape: ``logs`` of the keys ``hashes``, ascending, and ``rare`` by shape."""
+
+    hashes: np.ndarray
+    logs: np.ndarray
+    rare: np.ndarray
+
+    def finder(self) -> Callable[[np.ndarray], np.ndarray]:
+        """Looks keys up, from where those of the same first bits begin."""
+        n, shift = len(self.hashes), np.uint64(64 - max(1, len(self.hashes).bit_length()))
+        first = (prefix(np.bincount((self.hashes >> shift).astype(np.int64), minlength=1 << (64 - int(shift))))[:-1]).astype(np.int32)
+
+        def find(keys: np.ndarray) -> np.ndarray:
+            out, left, at = self.rare[_shape(keys)], np.arange(len(keys)), first[(keys >> shift).astype(np.int64)]
+            while len(left):
+                left, at = left[at < n], at[at < n]
+                held, sought = self.hashes[at], keys[left]
+                same, on = held == sought, held < sought
+                out[left[same]] = self.logs[at[same]]
+                left, at = left[on], at[on] + 1
+            return out
+
+        return find
+
+
+def _counts(df: DataFrame, text_col: str) -> DataFrame:
+    """Keys of all words with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -89,7 +139,7 @@ def vocabulary(df: DataFrame, text_col: str = "text", words: int = WORDS) -> Voc
 
         for batch in batches:
             for _, chunk in _lowered(batch.column(0)):
-                held.append(chunk.word_hash())
+                held.append(_keys(chunk))
                 size += len(held[-1])
                 if size >= COUNT_WORDS:
                     yield counted()
@@ -97,11 +147,34 @@ def vocabulary(df: DataFrame, text_col: str = "text", words: int = WORDS) -> Voc
         if held:
             yield counted()
 
-    counts = pick(df, text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = [r[0] for r in counts.orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
+    return pick(df, text_col).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def vocabulary(df: DataFrame, text_col: str = "text", words: int = WORDS) -> Vocabulary:
+    """The most frequent words of all documents; ties by key."""
+    top = [r[0] for r in _counts(df, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
     return Vocabulary(np.sort(np.array(top, np.int64).view(np.uint64)))
 
 
+def lexicon(df: DataFrame, text_col: str = "text", words: int = WORDS, floor: int = FLOOR) -> tuple[Vocabulary, Lexicon]:
+    """The most frequent words, of those that reach ``floor``, and all words' log probabilities within their shapes."""
+    own = F.when(F.col("n") >= floor, F.col("word"))
+    rows = _counts(df, text_col).groupBy(own.alias("word"), F.col("word").bitwiseAND(SHAPES - 1).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    named = rows.filter(pc.is_valid(rows["word"]))
+    rest = rows.filter(pc.is_null(rows["word"]))
+    word, n = named["word"].to_numpy(), named["n"].to_numpy()
+    order = np.lexsort((word, -n))
+    top, other = order[:words], order[words:]
+    keys, n = word.view(np.uint64)[other], n[other].astype(float)
+    rare_n, rare_words = np.ones(SHAPES), np.ones(SHAPES)  # one for what the corpus does not hold
+    rare_n[rest["shape"].to_numpy()] += rest["n"].to_numpy()
+    rare_words[rest["shape"].to_numpy()] += rest["words"].to_numpy()
+    total = np.bincount(_shape(keys), n, SHAPES) + rare_n
+    at = np.argsort(keys)
+    logs = np.log(n / total[_shape(keys)])[at].astype(np.float32)
+    return Vocabulary(np.sort(word.view(np.uint64)[top])), Lexicon(keys[at], logs, np.log(rare_n / rare_words / total).astype(np.float32))
+
+
 class Network:
     """Predicts a token from ``SIDE`` tokens on each side."""
 
@@ -200,18 +273,25 @@ def fit(df: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: int =
     return weights
 
 
-def score(df: DataFrame, vocab: Vocabulary, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each row's id, ``n_tokens``, ``log_prob`` (the sum) and ``mean_log_prob``."""
+def score(df: DataFrame, vocab: Vocabulary, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: Lexicon | None = None) -> DataFrame:
+    """Each row's id, ``n_tokens``, ``log_prob`` (the sum) and ``mean_log_prob``.
+
+    Without ``words`` it is the network's part alone, where shapes count as tokens.
+    """
     docs = pick(df, id_col, text_col)
     schema = T.StructType([docs.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
     flat = weights.astype(np.float32)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = Network(vocab.size, flat)
+        net, find = Network(vocab.size, flat), words and words.finder()
         for batch in batches:
             for part, chunk in _lowered(batch.column(1)):
-                ids = vocab.ids(chunk)
+                keys = _keys(chunk)
+                ids = vocab.of(keys)
                 each = net.log_prob(_around(chunk, ids), ids)
+                if find:
+                    shaped = np.flatnonzero(ids > len(vocab.hashes))
+                    each[shaped] += find(keys[shaped])
                 total = np.bincount(chunk.doc_of_word, each, chunk.n).astype(np.float64)
                 mean = total / np.maximum(chunk.n_words, 1)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(part.start, chunk.n), pa.array(chunk.n_words), pa.array(total), pa.array(mean, mask=chunk.n_words == 0)], schema.fieldNames())

@@ -36,8 +36,8 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    vocab = lmscore.vocabulary(docs)
-    return lmscore.score(docs, vocab, lmscore.fit(docs, vocab))
+    vocab, words = lmscore.lexicon(docs)
+    return lmscore.score(docs, vocab, lmscore.fit(docs, vocab), words=words)
 
 
 #: Target weights follow the sources' bytes to this power, so small sources weigh more than they are.

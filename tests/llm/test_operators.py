@@ -190,6 +190,39 @@ def test_lmscore_spreads_copies_over_the_rounds(spark):
     assert all(parts) and sorted(d for p in parts for d in p) == list(range(90))
 
 
+def test_lmscore_scores_words_and_not_shapes(spark, tmp_path):
+    rng = random.Random(7)
+    many = [f"{a}{b}{c}zzzzz" for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]  # 216 words of one shape
+    rows = [(i, " ".join(rng.choice(many) for _ in range(60))) for i in range(200)]
+    counts = Counter(w for _, t in rows for w in t.split())
+    word = counts.most_common()[-1][0]
+    rows += [(1000, " ".join([word] * 3)), (1001, " ".join(["qqqqqqqq"] * 3)), (1002, "some rare xyzzyxyz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = table(queries.op4_lmscore(spark, str(tmp_path)), "doc_id")
+    counts = Counter(w for _, t in rows for w in t.split())
+    vocab, words = lmscore.lexicon(docs)
+    net = table(lmscore.score(docs, vocab, lmscore.fit(docs, vocab)), "doc_id")
+    assert net[1000].log_prob == pytest.approx(net[1001].log_prob, rel=1e-4)  # to the network they are one
+    assert got[1000].log_prob > got[1001].log_prob + 3
+
+    key = lambda w: lmscore._keys(lmscore.Chunk(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])))
+    top = {w for w in counts if np.isin(key(w), vocab.hashes)[0]}
+    long = {w: n for w, n in counts.items() if len(w) == 8 and w not in top}
+    rare, total = [n for n in long.values() if n < lmscore.FLOOR], sum(long.values()) + 1
+    find = words.finder()
+    for w, n in long.items():
+        p = n if n >= lmscore.FLOOR else (sum(rare) + 1) / (len(rare) + 1)
+        assert find(key(w))[0] == pytest.approx(np.log(p / total), rel=1e-5)
+    assert len(top) == lmscore.WORDS and sum(np.exp(find(key(w))[0]) for w in long) + np.exp(find(key("notthere"))[0]) == pytest.approx(1, rel=1e-4)
+
+
+def test_lexicon_of_nothing(spark, none, nulls):
+    vocab, words = lmscore.lexicon(none)
+    assert len(vocab.hashes) == 0 and lmscore.score(none, vocab, lmscore.fit(none, vocab), words=words).count() == 0
+    assert all(np.isfinite(r.log_prob) for r in lmscore.score(nulls, vocab, lmscore.fit(none, vocab), words=words).collect())
+
+
 def test_lmscore_of_nothing(none, nulls):
     vocab = lmscore.vocabulary(none)
     weights = lmscore.fit(none, vocab)
