@@ -1,13 +1,18 @@
 """License scans: an exact set-similarity join of text blocks with license templates.
 
-A block is a line. It matches a template when it holds at least ``THRESHOLD`` of
-the template's distinct words. All words of templates are put in one global
+A block is a line, or a window of as many words as the template has that runs
+over line ends, so that a notice is found however it wraps. It matches a template
+when it holds at least ``THRESHOLD`` of the template's distinct words. All words of templates are put in one global
 order, rarest in the corpus first, by document counts over all documents. A
 block that matches must share one of the first ``|T| - need + 1`` words of the
 template in that order (prefix filter), hold ``need`` words of templates at all
 (length filter), and have enough words left on both sides after a shared one
 (positional filter); what passes is compared in full, so the join is exact.
 
+Each place of a prefix word takes the best window that holds it, the first of
+equals; a window counts if no line that it touches matches by itself, and goes by
+the line where it begins.
+
 Templates are constants, so both the order and the index of prefixes are small
 literals; a document whose text holds no prefix word is done after one pattern
 match. Everything runs in the JVM on the row at hand, and nothing is shuffled
@@ -66,9 +71,12 @@ def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def _split(template: str) -> list[str]:
+    return "".join(c if c.isalnum() else " " for c in template.lower()).split()
+
+
 def _distinct(template: str) -> list[str]:
-    kept = "".join(c if c.isalnum() else " " for c in template.lower())
-    return list(dict.fromkeys(kept.split()))
+    return list(dict.fromkeys(_split(template)))
 
 
 def _strings(values: list[str]) -> Column:
@@ -91,12 +99,21 @@ def _matches(text: Column, order: list[str], templates: dict[str, str], threshol
         need = ceil(round(threshold * len(own), 9))
         prefix = own[: len(own) - need + 1]
         prefixes |= {order[r] for r in prefix}
-        known.append(F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, own)).alias("ranks"), F.array(*map(F.lit, prefix)).alias("prefix"), F.lit(need).alias("need")))
+        known.append(F.struct(
+            F.lit(name).alias("name"), F.array(*map(F.lit, own)).alias("ranks"), F.array(*map(F.lit, prefix)).alias("prefix"), F.lit(need).alias("need"),
+            _strings(_distinct(template)).alias("words"), _strings([order[r] for r in prefix]).alias("rare"), F.lit(len(_split(template))).alias("width"),
+        ))
     may = text.rlike(f"(?i)(?<![^{_OTHER}])(?:{'|'.join(sorted(prefixes))})(?![^{_OTHER}])")
 
     ordered = _strings(order)
-    ranks = lambda line: F.array_sort(F.transform(F.array_intersect(_words(line), ordered), lambda w: F.array_position(ordered, w).cast("int") - 1))
-    blocks = F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("block"), ranks(line).alias("ranks")))
+    ranks = lambda words: F.array_sort(F.transform(F.array_intersect(words, ordered), lambda w: F.array_position(ordered, w).cast("int") - 1))
+    rare = _strings(sorted(prefixes))
+
+    def parts(lines: Column, words: Column) -> Column:
+        """The lines' ranks; all words, their lines, and the places of prefix words."""
+        blocks = F.transform(lines, lambda line, i: F.struct(i.alias("block"), ranks(line).alias("ranks")))
+        places = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(rare, w), i)), lambda i: i.isNotNull())
+        return F.struct(blocks.alias("blocks"), words.alias("words"), F.flatten(F.transform(lines, lambda line, i: F.array_repeat(i, F.size(line)))).alias("line"), places.alias("places"))
 
     def passes(block: Column, t: Column) -> Column:
         b, own = block["ranks"], t["ranks"]
@@ -109,8 +126,23 @@ def _matches(text: Column, order: list[str], templates: dict[str, str], threshol
         full = F.transform(likely, lambda b: F.struct(b["block"].alias("block"), t["name"].alias("template"), (F.size(F.array_intersect(b["ranks"], t["ranks"])) / F.size(t["ranks"])).alias("containment")))
         return F.filter(full, lambda m: m["containment"] * F.size(t["ranks"]) >= t["need"] - F.lit(1e-9))
 
+    def wrapped(t: Column, x: Column, own: Column) -> Column:
+        words, line, width, n = x["words"], x["line"], t["width"], F.size(x["words"])
+        held = lambda start, length: F.size(F.array_intersect(F.slice(words, start + 1, length), t["words"]))
+        first, last = lambda p: F.greatest(p - width + 1, F.lit(0)), lambda start: F.least(start + width, n) - 1
+        likely = F.filter(x["places"], lambda p: F.array_contains(t["rare"], F.get(words, p)) & (F.get(line, first(p)) != F.get(line, last(p))) & (held(first(p), 2 * width - 1) >= t["need"]))
+        best = F.transform(likely, lambda p: F.array_max(F.transform(F.sequence(first(p), p), lambda s: F.struct(held(s, width).alias("held"), (-s).alias("back")))))
+        spans = F.transform(best, lambda b: F.struct(b["held"].alias("held"), F.get(line, -b["back"]).alias("a"), F.get(line, last(-b["back"])).alias("b")))
+        alone = F.filter(spans, lambda w: (w["held"] >= t["need"]) & (w["a"] != w["b"]) & ~F.exists(own, lambda m: m["block"].between(w["a"], w["b"])))
+        return F.array_distinct(F.transform(alone, lambda w: F.struct(w["a"].alias("block"), t["name"].alias("template"), (w["held"] / F.size(t["words"])).alias("containment"))))
+
+    def both(t: Column, x: Column) -> Column:
+        return _bind(found(t, x["blocks"]), lambda own: F.concat(own, wrapped(t, x, own)))
+
     none = F.array().cast("array<struct<block:int,template:string,containment:double>>")
-    return F.coalesce(F.when(may, _bind(blocks, lambda bs: F.flatten(F.transform(F.array(*known), lambda t: found(t, bs))))), none)
+    every = lambda x: F.flatten(F.transform(F.array(*known), lambda t: both(t, x)))
+    lines = F.transform(F.split(text, "\n"), _words)
+    return F.coalesce(F.when(may, _bind(lines, lambda ls: _bind(F.flatten(ls), lambda ws: _bind(parts(ls, ws), every)))), none)
 
 
 def _places(text: Column, phrases: dict[str, str]) -> Column:

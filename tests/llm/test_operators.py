@@ -366,6 +366,32 @@ def test_licenses_match_exactly(spark):
         assert {(m.block, m.template, round(m.containment, 9)) for m in got[d].matches} == want
 
 
+def test_licenses_match_wrapped_notices(spark):
+    rng, rows, want = random.Random(8), [], {}
+    for name, notice in licenses.TEMPLATES.items():
+        words = notice.split()
+        for cut in range(1, len(words)):
+            for mark in ("\n", "\n# ", " \n\n * "):
+                want[len(rows)] = name
+                rows.append((len(rows), f"{prose(rng, 30)}\n{' '.join(words[:cut])}{mark}{' '.join(words[cut:])} {prose(rng, 30)}\n{prose(rng, 4)}"))
+    got = table(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
+    for d, name in want.items():
+        assert [m.template for m in got[d].matches].count(name) == 1, rows[d]
+
+
+def test_licenses_wrap_as_they_are_printed(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this"
+    thin = "\n".join("Released under the MIT License".split())
+    far = "Released under the\n" + "other words " * 9 + "MIT License"
+    twice = "Released under the MIT License.\nReleased under the MIT License."
+    rows = list(enumerate([bsd, mpl, thin, far, twice, "", "\n\n"]))
+    got = table(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
+    found = lambda d: [(m.block, m.template) for m in got[d].matches]
+    assert found(0) == [(0, "bsd-3-clause")] and found(1) == [(0, "mpl-2.0")] and found(2) == [(0, "mit")]
+    assert found(3) == [] and found(4) == [(0, "mit"), (1, "mit")] and found(5) == found(6) == []
+
+
 def test_license_places(spark):
     rows = [(1, "MIT License and the mit-license, limit license"), (2, "GNU General\nPublic...License; apache LICENSE"), (3, "mitlicense mit  licenses"), (4, "é mit\nlicense"), (5, None), (6, "")]
     got = table(licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")), "doc_id")
