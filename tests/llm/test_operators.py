@@ -438,6 +438,17 @@ def test_neardup_takes_anything(odd, none, nulls):
     assert kept.columns == odd.columns and sorted(r[0] for r in kept.collect()) == sorted({*want.values()})
 
 
+def test_neardup_keeps_unlike_texts_of_one_id(spark):
+    rng = random.Random(12)
+    alone, copied, other = prose(rng, 60), prose(rng, 60), prose(rng, 60)
+    rows = [(7, alone, "a"), (7, copied, "b"), (3, copied, "c"), (9, other, "d"), (9, other, "e"), (12, other + " tail", "f"), (None, copied, "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = neardup.keep(df, words=2)
+    assert got.columns == df.columns
+    left = [(r.doc_id, r.text) for r in got.collect()]
+    assert sorted(left, key=str) == sorted([(7, alone), (3, copied), (9, other), (None, copied)], key=str)
+
+
 # ---- quality -----------------------------------------------------------------
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
