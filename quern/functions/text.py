@@ -79,6 +79,19 @@ def dominant_script(text: Column | str, sample: int = 160) -> Column:
     return F.when(letters == 0, F.struct(F.lit("NONE").alias("script"), F.lit(0.0).alias("share"))).otherwise(F.struct(top["script"].alias("script"), (top["n"] / letters).alias("share")))
 
 
+def script_letters(text: Column | str) -> Column:
+    """map<script, letters> of the whole text; what is not ASCII is cut out once for all scripts."""
+    other = "[\\p{L}" + "".join(f"&&[^\\p{{{p}}}]" for p in SCRIPTS.values()) + "]"
+
+    def counted(x: Column) -> Column:
+        counts = {name: letters_of(x["rest"], p) for name, p in SCRIPTS.items()} | {"OTHER": F.regexp_count(x["rest"], F.lit(other))}
+        counts["LATIN"] += F.regexp_count(x["whole"], F.lit("[A-Za-z]"))
+        return F.create_map(*[y for name, n in counts.items() for y in (F.lit(name), n.cast("long"))])
+
+    whole = F.coalesce(_col(text), F.lit(""))
+    return F.transform(F.array(F.struct(whole.alias("whole"), F.regexp_replace(whole, r"[\x00-\x7F]+", "").alias("rest"))), counted)[0]
+
+
 def corpus_script(texts: Column | str, sample_texts: int = 50, sample: int = 400) -> Column:
     """The dominant script of the heads of an array of texts, ``UNKNOWN`` without letters."""
     heads = F.array_join(F.transform(F.slice(_col(texts), 1, sample_texts), lambda t: F.substring(F.coalesce(t, F.lit("")), 1, sample)), "")

@@ -103,7 +103,7 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"SELECT lang, CASE WHEN max(len(regexp_extract_all(text, '{LATIN_SQL}'))) > 0 THEN 'LATIN' ELSE 'UNKNOWN' END AS script FROM documents GROUP BY lang")
 def corpus_scripts(spark, sf_dir):
-    return corpus.script_by_language(views.passages(spark, sf_dir), "document_id")
+    return corpus.script_by_language(views.chunks(spark, sf_dir), "document_id")
 
 
 @query("""SELECT 'lang' AS "column", lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL

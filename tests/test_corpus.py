@@ -147,3 +147,13 @@ def test_health_of_an_empty_index(spark):
     chunks = spark.createDataFrame([], "chunk_id long, lang string, text string")
     vectors = spark.createDataFrame([], "chunk_id long, vector array<double>")
     assert health(sparse.build_index(one_index(chunks)), vectors, Config()).head().status == "empty"
+
+
+def test_scripts_are_those_of_all_texts(spark):
+    rows = [(i, "hi", "short latin text") for i in range(60)] + [(100 + i, "hi", "नमस्ते दुनिया " * 60) for i in range(60)]
+    rows += [(300, "ru", "x" * 400 + "Привет мир " * 100), (301, "no", "123 ?!"), (302, "no", None), (303, "tie", "αβγ"), (304, "tie", "abc"), (305, None, "ελληνικά")]
+    docs = spark.createDataFrame(rows, "document_id long, lang string, text string").repartition(3)
+    got = {r.lang: r.script for r in corpus.script_by_language(docs, "document_id").collect()}
+    assert got == {"hi": "DEVANAGARI", "ru": "CYRILLIC", "no": "UNKNOWN", "tie": "GREEK", None: "GREEK"}
+    heads = {r.lang: r.script for r in corpus.script_by_language(docs, "document_id", 50).collect()}
+    assert heads["hi"] == heads["ru"] == "LATIN"
