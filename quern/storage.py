@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 
@@ -11,11 +10,23 @@ from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
 
+#: Spark's setting by which a query's shuffle files go as soon as it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a local one only where that setting is absent (tests)."""
+    """The folder named by ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set a local session gets a folder of its own; on a cluster
+    that is an error, for executors would each write to their own disk.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if set_by_hand.isDefined():
+            return set_by_hand.get()
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -25,15 +36,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet to the shared folder and read it back.
 
     Cuts lineage as ``checkpoint()`` does, in a compact columnar form that any
-    executor can read again after another one is lost. Then asks the driver's JVM
-    for a collection, upon which Spark deletes the shuffle files behind ``df``.
+    executor can read again after another one is lost. Shuffle files behind
+    ``df`` go when it has been written.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/quern/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     _written.append((spark, path))
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     table = spark.read.schema(df.schema).parquet(path)
     table.quern_path = path
     return table
