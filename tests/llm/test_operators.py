@@ -5,6 +5,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -147,26 +148,69 @@ def test_langid_takes_anything(odd, nulls):
 
 def test_lmscore_sums_what_the_network_says(spark, odd):
     vocab = lmscore.vocabulary(odd)
-    weights = lmscore.fit(odd, vocab, share=1, rounds=1)
+    weights = lmscore.fit(odd, vocab, rounds=1)
     got = table(lmscore.score(odd, vocab, weights), "doc_id")
     net = lmscore.Network(vocab.size, weights)
     for d in (6, 9, 12, 13):
         chunk = lmscore.Chunk(lmscore._LOWER[np.frombuffer(TEXTS[d].encode(), np.uint8)], np.array([0, len(TEXTS[d].encode())]))
         ids, total = [0, 0, *vocab.ids(chunk).tolist(), 0, 0], 0.0
         for i in range(2, len(ids) - 2):
-            near = sum(net.near[k][ids[i + s]].astype(float) for k, s in enumerate((-2, -1, 1, 2)))
-            z = np.tanh(near) @ net.out + net.bias
-            total += z[ids[i]] - np.log(np.exp(z).sum())
+            h = np.tanh(sum(net.near[k][ids[i + s]].astype(float) for k, s in enumerate((-2, -1, 1, 2))))
+            own, at = divmod(ids[i] - 1, lmscore.WIDE)
+            z, q = h @ net.top + net.top_bias, h @ net.out[own] + net.out_bias[own]
+            q = q[: vocab.size - own * lmscore.WIDE]
+            total += z[own] - np.log(np.exp(z).sum()) + q[at] - np.log(np.exp(q).sum())
         assert got[d].log_prob == pytest.approx(total, rel=1e-3) and got[d].n_tokens == len(ids) - 4
     assert got[0].log_prob == got[1].log_prob == 0 and got[0].mean_log_prob is None
 
 
+def test_lmscore_gradients():
+    rng = np.random.default_rng(3)
+    net = lmscore.Network(150)
+    around, token = rng.integers(0, 151, (40, 4)), rng.integers(1, 151, 40)
+    net.flat[:] += rng.standard_normal(len(net.flat)).astype(np.float32) * 0.2
+    loss = lambda: -net.log_prob(around, token).mean()
+    for weight, _, grad in list(net.gradients(around, token)):
+        weight, grad = weight.reshape(-1), np.asarray(grad).reshape(-1)
+        for i in np.argsort(-np.abs(grad))[:3]:
+            was = weight[i]
+            weight[i] = was + 0.01
+            up = loss()
+            weight[i] = was - 0.01
+            down = loss()
+            weight[i] = was
+            assert grad[i] == pytest.approx((up - down) / 0.02, rel=0.05, abs=1e-4)
+
+
+def test_lmscore_fit_is_the_mean_of_its_shards(spark):
+    rng = random.Random(4)
+    rows = [(i, prose(rng, rng.choice([3, 80, 300]))) for i in range(60)] + [(5, "a text of its own"), (90, None), (91, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    vocab = lmscore.vocabulary(docs, words=100)
+    want = lmscore.Network(vocab.size).flat.astype(float)
+    dealt = lmscore.shards(docs, "text", "doc_id", 2, vocab.tokens, 2000).collect()
+    assert len(dealt) == 61 and len({r.shard for r in dealt}) == -(-vocab.tokens // 4000)
+    for turn in range(2):
+        own, n = [], []
+        for k in sorted({r.shard for r in dealt if r.turn == turn}):
+            texts = [r.text for r in sorted((r for r in dealt if (r.turn, r.shard) == (turn, k)), key=lambda r: (r.mark, r.text))]
+            flat, tokens = lmscore.train_shard(pa.array(texts), vocab, want)
+            own.append(flat)
+            n.append(-(-tokens // 1000))
+        want = np.average(np.array(own, float), axis=0, weights=n)
+    for parts in (1, 4, 211):
+        got = lmscore.fit(docs.repartition(parts), vocab, rounds=2, shard_tokens=2000)
+        assert np.allclose(got, want, atol=1e-5)
+        first = got if parts == 1 else first
+        assert (got == first).all()
+
+
 def test_lmscore_prefers_texts_like_the_corpus(spark):
     rng = random.Random(2)
     chain = " ".join(f"a{i % 12} b{i % 12}" for i in range(400))
     docs = spark.createDataFrame([(i, chain) for i in range(30)], "doc_id long, text string")
     vocab = lmscore.vocabulary(docs)
-    weights = lmscore.fit(docs, vocab, share=1, rounds=2)
+    weights = lmscore.fit(docs, vocab, rounds=2)
     words = chain.split()
     rng.shuffle(words)
     tried = spark.createDataFrame([(1, chain), (2, " ".join(words))], "doc_id long, text string")
@@ -179,42 +223,49 @@ def test_lmscore_trains_on_every_document(spark):
     vocab = lmscore.vocabulary(docs)
     before, after = lmscore.Network(vocab.size), lmscore.Network(vocab.size, lmscore.fit(docs, vocab))
     assert len(vocab.hashes) == 60
-    assert (before.near != after.near).any(2)[:, 1 : 1 + 60].all()  # each word stands in one document only
-    with pytest.raises(ValueError):
-        lmscore.fit(docs, vocab, rounds=3, share=16)
+    assert (before.near != after.near).any(2)[:, 1 + lmscore.BUCKETS :].all()  # each word stands in one document only
 
 
-def test_lmscore_spreads_copies_over_the_rounds(spark):
+def test_lmscore_spreads_copies_over_rounds_and_shards(spark):
     docs = spark.createDataFrame([(i, "one text in many copies") for i in range(90)], "doc_id long, text string")
-    parts = [{r.doc_id for r in lmscore._share(docs, turn, lmscore.ROUNDS).collect()} for turn in range(lmscore.ROUNDS)]
-    assert all(parts) and sorted(d for p in parts for d in p) == list(range(90))
+    dealt = lmscore.shards(docs, "text", "doc_id", 3, 90 * 5, 50).collect()
+    assert len(dealt) == 90 and {(r.turn, r.shard) for r in dealt} == {(t, k) for t in range(3) for k in range(3)}
 
 
-def test_lmscore_scores_words_and_not_shapes(spark, tmp_path):
+def test_lmscore_tells_rare_words_apart_by_their_neighbours(spark):
     rng = random.Random(7)
     many = [f"{a}{b}{c}zzzzz" for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]  # 216 words of one shape
-    rows = [(i, " ".join(rng.choice(many) for _ in range(60))) for i in range(200)]
-    counts = Counter(w for _, t in rows for w in t.split())
-    word = counts.most_common()[-1][0]
-    rows += [(1000, " ".join([word] * 3)), (1001, " ".join(["qqqqqqqq"] * 3)), (1002, "some rare xyzzyxyz")]
+    docs = spark.createDataFrame([(i, " ".join(x for _ in range(40) for x in ("left", many[0], "right", many[1]))) for i in range(60)], "doc_id long, text string")
+    vocab, words = lmscore.lexicon(docs, words=2)
+    assert len(vocab.hashes) == 2
+    weights = lmscore.fit(docs, vocab)
+    tried = spark.createDataFrame([(0, f"left {many[0]} right"), (1, f"left {many[1]} right"), (2, f"left {rng.choice(many[2:])} right")], "doc_id long, text string")
+    got = table(lmscore.score(tried, vocab, weights, words=words), "doc_id")
+    assert got[0].log_prob > got[1].log_prob + 1 and got[1].log_prob > got[2].log_prob
+
+
+def test_lmscore_counts_words_within_buckets(spark, tmp_path):
+    rng = random.Random(7)
+    many = [f"{a}{b}{c}zzzzz" for a in "abcdef" for b in "ghijkl" for c in "mnopqr"]
+    rows = [(i, " ".join(rng.choice(many) for _ in range(60))) for i in range(200)] + [(1002, "some rare xyzzyxyz")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
-    got = table(queries.op4_lmscore(spark, str(tmp_path)), "doc_id")
+    assert queries.op4_lmscore(spark, str(tmp_path)).count() == 201
     counts = Counter(w for _, t in rows for w in t.split())
-    vocab, words = lmscore.lexicon(docs)
-    net = table(lmscore.score(docs, vocab, lmscore.fit(docs, vocab)), "doc_id")
-    assert net[1000].log_prob == pytest.approx(net[1001].log_prob, rel=1e-4)  # to the network they are one
-    assert got[1000].log_prob > got[1001].log_prob + 3
-
+    vocab, words = lmscore.lexicon(docs, words=20)
     key = lambda w: lmscore._keys(lmscore.Chunk(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)])))
-    top = {w for w in counts if np.isin(key(w), vocab.hashes)[0]}
-    long = {w: n for w, n in counts.items() if len(w) == 8 and w not in top}
-    rare, total = [n for n in long.values() if n < lmscore.FLOOR], sum(long.values()) + 1
-    find = words.finder()
-    for w, n in long.items():
-        p = n if n >= lmscore.FLOOR else (sum(rare) + 1) / (len(rare) + 1)
-        assert find(key(w))[0] == pytest.approx(np.log(p / total), rel=1e-5)
-    assert len(top) == lmscore.WORDS and sum(np.exp(find(key(w))[0]) for w in long) + np.exp(find(key("notthere"))[0]) == pytest.approx(1, rel=1e-4)
+    top, find = {w for w in counts if np.isin(key(w), vocab.hashes)[0]}, words.finder()
+    assert len(top) == 20 and vocab.tokens == sum(counts.values())
+    by_bucket = defaultdict(dict)
+    for w, n in counts.items():
+        if w not in top:
+            by_bucket[int(lmscore._bucket(key(w))[0])][w] = n
+    for k, held in by_bucket.items():
+        rare, total = [n for n in held.values() if n < lmscore.FLOOR], sum(held.values()) + 1
+        for w, n in held.items():
+            p = n if n >= lmscore.FLOOR else (sum(rare) + 1) / (len(rare) + 1)
+            assert find(key(w))[0] == pytest.approx(np.log(p / total), rel=1e-4, abs=1e-5)
+        assert sum(np.exp(find(key(w))[0]) for w in held) + np.exp(words.rare[k]) == pytest.approx(1, rel=1e-4)
 
 
 def test_lexicon_of_nothing(spark, none, nulls):
@@ -232,33 +283,73 @@ def test_lmscore_of_nothing(none, nulls):
 # ---- mixing ------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("shares", [{0: 32, 1: 20, 2: 12}, {0: 1, 1: 1}, {0: 63, 1: 1}, {0: 7}, {i: i + 1 for i in range(9)}])
-def test_pfair_lags_less_than_a_block(shares):
-    length, got = sum(shares.values()), Counter()
-    for slot, (s, j) in enumerate(mixing.period(shares)):
-        assert j == got[s] and j * length // shares[s] <= slot < -(-(j + 1) * length // shares[s])
+GOALS = [{0: 32, 1: 20, 2: 12}, {0: 1, 1: 1}, {0: 63, 1: 1}, {0: 7}, {i: i + 1 for i in range(9)}, {0: Fraction(7, 10_000), 1: Fraction(3001, 10_000), 2: Fraction(6992, 10_000)}, {i: Fraction(1, p) for i, p in enumerate((3, 7, 11, 13, 5000))}]
+
+
+@pytest.mark.parametrize("goal", GOALS)
+def test_pfair_lags_less_than_a_block(goal):
+    goal = {s: Fraction(w) for s, w in goal.items()}
+    total, got = sum(goal.values()), Counter()
+    slots = mixing.phase(dict.fromkeys(goal, 30_000), goal)
+    assert max(Counter(slots).values()) == 30_000
+    for slot, s in enumerate(slots):
+        w, j = goal[s] / total, got[s]
+        assert int(j / w) <= slot < -int(-(j + 1) // w)
         got[s] += 1
-        assert all(abs(got[k] - n * (slot + 1) / length) < 1 for k, n in shares.items())
+        if slot % 101 < 3 or slot < 400:
+            assert all(abs(got[k] - n * (slot + 1) / total) < 1 for k, n in goal.items())
+
 
+def by_hand(left, goal):
+    """Earliest deadline first, looking at every source in every slot."""
+    got, out, total = Counter(), [], sum(goal[s] for s in left)
+    while not out or got[out[-1]] < left[out[-1]]:
+        t = len(out)
+        ready = [(-int(-(got[s] + 1) // (goal[s] / total)), s) for s in left if int(got[s] / (goal[s] / total)) <= t]
+        out.append(min(ready)[1])
+        got[out[-1]] += 1
+    return out
 
-def test_phases_use_each_block_once():
-    plan = mixing.phases({0: 100, 1: 7, 2: 31, 3: 0}, {0: Fraction(1, 2), 1: Fraction(1, 4), 2: Fraction(1, 4)}, 64)
-    assert {s: sum(p["blocks"].get(s, 0) for p in plan) for s in range(3)} == {0: 100, 1: 7, 2: 31}
-    assert sum(sum(p["blocks"].values()) for p in plan) == plan[-1]["slot"] + sum(plan[-1]["blocks"].values())
 
+def test_plan_uses_each_block_once():
+    goal = {0: Fraction(1, 2), 1: Fraction(1, 4), 2: Fraction(1, 4), 4: Fraction(0)}
+    blocks = {0: 100, 1: 7, 2: 31, 3: 0, 4: 5}
+    sources, phases = mixing.plan(blocks, goal)
+    assert Counter(sources.tolist()) == {0: 100, 1: 7, 2: 31, 4: 5} and (np.diff(phases) >= 0).all() and set(sources[phases == phases.max()].tolist()) == {4}
+    assert sources[phases == 0].tolist() == by_hand({0: 100, 1: 7, 2: 31}, goal)
 
-def test_mixing_places_each_row_once(related, odd, none, nulls):
-    got = mixing.schedule(related, {"s0": 0.5, "s1": 0.3, "s2": 0.2}, block_bytes=500, resolution=64)
+
+def test_mixing_is_the_schedule_by_hand(related, odd, none, nulls, monkeypatch):
+    goal = {"s0": 0.0007, "s1": 0.3001, "s2": 0.6992}
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 1)
+    got = mixing.schedule(related, goal, block_bytes=50)
     assert got.count() == got.select("doc_id").distinct().count() == related.count()
-    assert got.groupBy("slot").agg(F.countDistinct("source").alias("n")).where("n > 1").count() == 0
-    first = got.where("phase = 0").groupBy("source").agg(F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
-    end = max(r["last"] for r in first) + 1
-    goal = {"s0": 0.5, "s1": 0.3, "s2": 0.2}
-    for r in got.select("source", "block", "slot", "phase").distinct().where("phase = 0").collect():
-        assert abs(r.block - goal[r.source] * r.slot) < 2 + end / 64
+    total = Counter()
+    for r in related.collect():
+        total[r.source] += max(1, len(r.text.encode()))
+    left, exact, order = {s: -(-n // 50) for s, n in total.items()}, {s: Fraction(str(w)) for s, w in goal.items()}, []
+    while left:
+        run = by_hand(left, exact)
+        order += run
+        left = {s: n for s in left if (n := left[s] - run.count(s))}
+    nth, want = Counter(), {}
+    for slot, s in enumerate(order):
+        want[s, nth[s]] = slot
+        nth[s] += 1
+    place = defaultdict(list)
+    for r in got.collect():
+        assert r.slot == want[r.source, r.block]
+        place[r.source].append(50 * r.block + r.within)
+    sizes = {s: sorted(p) for s, p in place.items()}
+    assert all(p[0] == 0 and len(set(p)) == len(p) for p in sizes.values())
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    assert sorted(mixing.schedule(related, goal, block_bytes=50).collect()) == sorted(got.collect())
+    monkeypatch.setattr(mixing, "MOST_BLOCKS", 40)
+    few = mixing.schedule(related, goal, block_bytes=50).agg(F.max("slot")).head()[0]
+    assert few < 43
     mixed = mixing.interleave(odd, block_bytes=500)
     assert mixed.columns == odd.columns and sorted(map(repr, mixed.collect())) == sorted(map(repr, odd.collect()))
-    assert mixing.interleave(none).count() == 0 and mixing.schedule(nulls).count() == 2
+    assert mixing.interleave(none).count() == 0 and mixing.schedule(none).count() == 0 and mixing.schedule(nulls).count() == 2
 
 
 # ---- nearest neighbours ------------------------------------------------------
@@ -416,16 +507,28 @@ def test_neardup_finds_all_components(related, words):
     assert all(r.kept == (r.component_id == d) and r.n_shingles == len(brute.shingles(dict(docs)[d], words)) for d, r in got.items())
 
 
-def test_neardup_in_large_mixed_nodes(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "SMALL", 4)
-    monkeypatch.setattr(neardup, "OUTSIDERS", 8)
-    monkeypatch.setattr(neardup, "MEMBERS", 16)
+def loose(spark):
     rng = random.Random(6)
     base, docs = prose(rng, 150).split(), []
     for i in range(150):
         docs.append((i, " ".join(rng.choice(WORDS) if rng.random() < rng.choice([0.01, 0.05, 0.09]) else w for w in base)))
-    got = {r.doc_id: r.component_id for r in neardup.classes(spark.createDataFrame(docs, "doc_id long, text string"), words=2).collect()}
-    assert got == brute.components(docs, 2)
+    return spark.createDataFrame(docs, "doc_id long, text string"), brute.components(docs, 2)
+
+
+def test_neardup_in_large_mixed_nodes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    df, want = loose(spark)
+    assert {r.doc_id: r.component_id for r in neardup.classes(df, words=2).collect()} == want
+
+
+def test_neardup_recall_where_all_nodes_branch(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "SMALL", 4)
+    monkeypatch.setattr(neardup, "MEMBERS", 4)
+    df, want = loose(spark)
+    got = {r.doc_id: r.component_id for r in neardup.classes(df, words=2).collect()}
+    linked = {d for d, c in want.items() if c != d}
+    assert all(want[d] == want[c] for d, c in got.items())  # no false link
+    assert sum(got[d] == want[d] for d in linked) >= 0.97 * len(linked)
 
 
 def test_neardup_takes_anything(odd, none, nulls):
