@@ -3,28 +3,35 @@
 A small network sees the two tokens on each side of a masked one and predicts
 it; a document's score is the sum over all its tokens of the logarithm of the
 probability given to the token that stands there. The network is trained in
-numpy: one hidden layer over the neighbours' vectors, a softmax over the tokens.
-
-Tokens are words, lower-case in A-Z. The network tells the ``WORDS`` most
-frequent ones apart and sees any other as its shape (letters, digits, marks or
-letters beyond ASCII, and length). The probability of such a word is that of its
-shape, by the network, times its own among all words of the shape, by its count
-over all documents. Each word that occurs ``FLOOR`` times or more has its own
-count, so their table grows with the corpus; rarer ones share the mass of their
-kind evenly, with one more for all that the corpus does not hold, so over words
-the probabilities sum to one. What is left out: the neighbours have no say in
-which word of a shape it is, and rare words of a shape are alike.
+numpy: one hidden layer over the neighbours' vectors, and a softmax in two
+levels, first over classes of ``WIDE`` tokens, then over the tokens of the class;
+the neighbours decide at both.
+
+Tokens are words, lower-case in A-Z. The ``WORDS`` most frequent ones are tokens
+of their own, in classes by rank; any other goes to one of ``BUCKETS`` by its
+shape (letters, digits, marks or letters beyond ASCII, and length) and its hash.
+The probability of such a word is that of its bucket, by the network, times its
+own among all words of the bucket, by its count over all documents. Each word
+that occurs ``FLOOR`` times or more has its own count, so their table grows with
+the corpus; rarer ones share the mass of their kind evenly, with one more for all
+that the corpus does not hold, so over words the probabilities sum to one. What
+is left out: the neighbours have no say in which word of a bucket it is, and rare
+words of a bucket are alike.
 
 Counting moves one row for each distinct word and task; for each word of the
 table the driver gets 32 bytes and a scoring worker holds about 14. A word's
 key is a hash of 59 bits with its shape in the rest; of ten million words two
 are mistaken for each other with a chance of 1e-4.
 
-Training is local and averaged: the ``ROUNDS`` rounds part all documents among
-them by a hash of id and text, so that each document trains the network once and
-copies of a text are spread over the rounds; in each round every task takes its
-own documents through stochastic gradient descent from common weights; sums of weights times tokens are formed in Spark,
-one row for each weight and task, and their means start the next round.
+All documents train the network, each once. A hash of id and text deals them to
+rounds and, within a round, to shards of about ``SHARD_TOKENS`` tokens; copies
+of a text are spread. In a round every shard goes through its documents, in the
+order of their hash, by gradient descent (AdaGrad) from common weights; the mean
+of the shards' weights, by tokens, starts the next round. Shards depend on the
+rows alone and sums are made of whole numbers, so neither partitions nor lost
+tasks change the model. A task adds up its shards' weights, and what meets of all
+tasks is dealt by pieces of the weights: no task holds more than one model and a
+batch of pieces.
 
 Edge cases: a null or empty text has no tokens and a sum of 0, and no mean; a
 word's neighbours beyond either end of its document are a token of their own;
@@ -46,14 +53,20 @@ from pyspark.sql import types as T
 
 from .common import Chunk, chunks, lookup, pick, prefix
 
-WORDS, HIDDEN, SIDE = 160, 24, 2
-ROUNDS, RATE, BATCH = 3, 0.5, 256
+WORDS, HIDDEN, SIDE = 3072, 24, 2
+#: Tokens of a class.
+WIDE = 64
+ROUNDS, RATE, BATCH = 3, 0.2, 4096
+#: Tokens of a shard, about, and pieces that weights are added up in.
+SHARD_TOKENS, PIECES = 700_000, 64
+#: Weights are added up in units of 2**-20, tokens of a shard in thousands.
+UNIT = 1 << 20
 #: Words that occur so often have a count of their own.
 FLOOR = 4
 #: Tokens scored together, and words counted together at least.
-STEP, COUNT_WORDS = 4096, 2_000_000
-#: Kinds of shape times lengths (1 to 7, 8 and more).
-SHAPES = 4 * 8
+STEP, COUNT_WORDS = 16_384, 2_000_000
+#: Kinds of shape times lengths (1 to 7, 8 and more), and of these times parts of the hash.
+SHAPES, BUCKETS = 4 * 8, 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -68,7 +81,7 @@ def _lowered(column: pa.Array) -> Iterator[tuple[slice, Chunk]]:
 
 
 def _keys(chunk: Chunk) -> np.ndarray:
-    """Of each word: its hash, with its shape in the low bits."""
+    """Of each word: its hash, with its shape in the low bits; the lowest ten tell its bucket."""
     within = lambda kind: (lambda s: s[chunk.ends] - s[chunk.starts])(prefix(kind[chunk.data]))
     length = chunk.ends - chunk.starts
     kind = np.where(within(_DIGIT) > 0, 1, np.where(within(_LETTER) + within(_HIGH) < length, 2, np.where(within(_HIGH) > 0, 3, 0)))
@@ -76,26 +89,32 @@ def _keys(chunk: Chunk) -> np.ndarray:
     return chunk.word_hash() & ~np.uint64(SHAPES - 1) | shape.astype(np.uint64)
 
 
-def _shape(keys: np.ndarray) -> np.ndarray:
-    return (keys & np.uint64(SHAPES - 1)).astype(np.int64)
+def _bucket(keys: np.ndarray) -> np.ndarray:
+    return (keys & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """Keys of the frequent words, ascending. Ids: 0 beyond the ends, then words, then shapes."""
+    """Keys of the frequent words by rank, and how many tokens the corpus has. Ids: 0 beyond the ends, then buckets, then words."""
 
-    hashes: np.ndarray
+    ranked: np.ndarray
+    tokens: int = 0
+
+    def __post_init__(self) -> None:
+        order = np.argsort(self.ranked)
+        object.__setattr__(self, "hashes", self.ranked[order])
+        object.__setattr__(self, "rank", order)
 
     @property
     def size(self) -> int:
-        return 1 + len(self.hashes) + SHAPES
+        """Ids but for that beyond the ends."""
+        return BUCKETS + len(self.hashes)
 
     def of(self, keys: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.hashes, keys)
-        known = np.zeros(len(keys), bool)
-        if len(self.hashes):
-            known = self.hashes[np.minimum(at, len(self.hashes) - 1)] == keys
-        return np.where(known, 1 + at, 1 + len(self.hashes) + _shape(keys))
+        if not len(self.hashes):
+            return 1 + _bucket(keys)
+        at = np.minimum(np.searchsorted(self.hashes, keys), len(self.hashes) - 1)
+        return 1 + np.where(self.hashes[at] == keys, BUCKETS + self.rank[at], _bucket(keys))
 
     def ids(self, chunk: Chunk) -> np.ndarray:
         return self.of(_keys(chunk))
@@ -103,7 +122,7 @@ class Vocabulary:
 
 @dataclass(frozen=True)
 class Lexicon:
-    """Log probabilities of words among those of their shape: ``logs`` of the keys ``hashes``, ascending, and ``rare`` by shape."""
+    """Log probabilities of words among those of their bucket: ``logs`` of the keys ``hashes``, ascending, and ``rare`` by bucket."""
 
     hashes: np.ndarray
     logs: np.ndarray
@@ -115,7 +134,7 @@ class Lexicon:
         first = (prefix(np.bincount((self.hashes >> shift).astype(np.int64), minlength=1 << (64 - int(shift))))[:-1]).astype(np.int32)
 
         def find(keys: np.ndarray) -> np.ndarray:
-            out, left, at = self.rare[_shape(keys)], np.arange(len(keys)), first[(keys >> shift).astype(np.int64)]
+            out, left, at = self.rare[_bucket(keys)], np.arange(len(keys)), first[(keys >> shift).astype(np.int64)]
             while len(left):
                 left, at = left[at < n], at[at < n]
                 held, sought = self.hashes[at], keys[left]
@@ -152,41 +171,54 @@ def _counts(df: DataFrame, text_col: str) -> DataFrame:
 
 def vocabulary(df: DataFrame, text_col: str = "text", words: int = WORDS) -> Vocabulary:
     """The most frequent words of all documents; ties by key."""
-    top = [r[0] for r in _counts(df, text_col).orderBy(F.desc("n"), "word").limit(words).select("word").collect()]
-    return Vocabulary(np.sort(np.array(top, np.int64).view(np.uint64)))
+    return lexicon(df, text_col, words, 1)[0]
 
 
 def lexicon(df: DataFrame, text_col: str = "text", words: int = WORDS, floor: int = FLOOR) -> tuple[Vocabulary, Lexicon]:
-    """The most frequent words, of those that reach ``floor``, and all words' log probabilities within their shapes."""
+    """The most frequent words, of those that reach ``floor``, and all words' log probabilities within their buckets."""
     own = F.when(F.col("n") >= floor, F.col("word"))
-    rows = _counts(df, text_col).groupBy(own.alias("word"), F.col("word").bitwiseAND(SHAPES - 1).alias("shape")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
+    rows = _counts(df, text_col).groupBy(own.alias("word"), F.col("word").bitwiseAND(BUCKETS - 1).alias("bucket")).agg(F.sum("n").alias("n"), F.count("*").alias("words")).toArrow()
     named = rows.filter(pc.is_valid(rows["word"]))
     rest = rows.filter(pc.is_null(rows["word"]))
     word, n = named["word"].to_numpy(), named["n"].to_numpy()
     order = np.lexsort((word, -n))
     top, other = order[:words], order[words:]
-    keys, n = word.view(np.uint64)[other], n[other].astype(float)
-    rare_n, rare_words = np.ones(SHAPES), np.ones(SHAPES)  # one for what the corpus does not hold
-    rare_n[rest["shape"].to_numpy()] += rest["n"].to_numpy()
-    rare_words[rest["shape"].to_numpy()] += rest["words"].to_numpy()
-    total = np.bincount(_shape(keys), n, SHAPES) + rare_n
+    keys, count = word.view(np.uint64)[other], n[other].astype(float)
+    rare_n, rare_words = np.ones(BUCKETS), np.ones(BUCKETS)  # one for what the corpus does not hold
+    rare_n[rest["bucket"].to_numpy()] += rest["n"].to_numpy()
+    rare_words[rest["bucket"].to_numpy()] += rest["words"].to_numpy()
+    total = np.bincount(_bucket(keys), count, BUCKETS) + rare_n
     at = np.argsort(keys)
-    logs = np.log(n / total[_shape(keys)])[at].astype(np.float32)
-    return Vocabulary(np.sort(word.view(np.uint64)[top])), Lexicon(keys[at], logs, np.log(rare_n / rare_words / total).astype(np.float32))
+    logs = np.log(count / total[_bucket(keys)])[at].astype(np.float32)
+    tokens = int(n.sum()) + int((pc.sum(rest["n"]).as_py() or 0))
+    return Vocabulary(word.view(np.uint64)[top], tokens), Lexicon(keys[at], logs, np.log(rare_n / rare_words / total).astype(np.float32))
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(1, keepdims=True)
+    return z
 
 
 class Network:
-    """Predicts a token from ``SIDE`` tokens on each side."""
+    """Predicts a token, of ``vocab`` ids from 1, from ``SIDE`` tokens on each side."""
 
     def __init__(self, vocab: int, flat: np.ndarray | None = None) -> None:
-        n = 2 * SIDE * vocab * HIDDEN
+        self.vocab, self.classes = vocab, -(-vocab // WIDE)
+        shapes = [(2 * SIDE, 1 + vocab, HIDDEN), (HIDDEN, self.classes), (self.classes, HIDDEN, WIDE), (self.classes,), (self.classes, WIDE)]
+        sizes = [int(np.prod(s)) for s in shapes]
         if flat is None:
-            flat = np.zeros(n + HIDDEN * vocab + vocab)
-            flat[: n + HIDDEN * vocab] = np.random.default_rng(11).standard_normal(n + HIDDEN * vocab) * 0.1
+            flat = np.zeros(sum(sizes))
+            flat[: sum(sizes[:3])] = np.random.default_rng(11).standard_normal(sum(sizes[:3])) * 0.1
         self.flat = flat.astype(np.float32)
-        self.near = self.flat[:n].reshape(2 * SIDE, vocab, HIDDEN)
-        self.out = self.flat[n : n + HIDDEN * vocab].reshape(HIDDEN, vocab)
-        self.bias = self.flat[n + HIDDEN * vocab :]
+        parts = np.split(self.flat, np.cumsum(sizes)[:-1])
+        self.near, self.top, self.out, self.top_bias, self.out_bias = (p.reshape(s) for p, s in zip(parts, shapes, strict=True))
+        # places of the last class that are no token's
+        self.absent = np.zeros((self.classes, WIDE), np.float32)
+        self.absent.reshape(-1)[vocab:] = -np.inf
+        self.seen = np.full(len(self.flat), 1e-6, np.float32)  # squares of gradients, for the steps
+        self.near_seen, self.top_seen, self.out_seen, self.top_bias_seen, self.out_bias_seen = (p.reshape(s) for p, s in zip(np.split(self.seen, np.cumsum(sizes)[:-1]), shapes, strict=True))
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         h = self.near[0][around[:, 0]]
@@ -194,35 +226,65 @@ class Network:
             h += self.near[k][around[:, k]]
         return np.tanh(h, out=h)
 
+    def _by_class(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """Each class with the places of its tokens."""
+        own = (token - 1) // WIDE
+        order = np.argsort(own, kind="stable")
+        bounds = np.searchsorted(own[order], np.arange(self.classes + 1))
+        for k in np.flatnonzero(np.diff(bounds)).tolist():
+            yield k, order[bounds[k] : bounds[k + 1]]
+
     def log_prob(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token, given those around it."""
         out = np.empty(len(token))
         for a in range(0, len(token), STEP):
-            z = self.hidden(around[a : a + STEP]) @ self.out
-            z += self.bias
-            z -= z.max(1, keepdims=True)
-            own = z[np.arange(len(z)), token[a : a + STEP]]
-            out[a : a + STEP] = own - np.log(np.exp(z, out=z).sum(1))
+            t = token[a : a + STEP]
+            h, own = self.hidden(around[a : a + STEP]), out[a : a + STEP]
+            own[:] = self._log(h @ self.top + self.top_bias, (t - 1) // WIDE)
+            for k, at in self._by_class(t):
+                own[at] += self._log(h[at] @ self.out[k] + (self.out_bias[k] + self.absent[k]), (t[at] - 1) % WIDE)
         return out
 
+    @staticmethod
+    def _log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        z -= z.max(1, keepdims=True)
+        own = z[np.arange(len(z)), at]
+        return own - np.log(np.exp(z, out=z).sum(1))
+
+    @staticmethod
+    def _step(weight: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
+        seen += grad * grad
+        weight -= RATE * grad / np.sqrt(seen)
+
+    def gradients(self, around: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(weights, their squares seen, gradient of minus the mean log probability) of all parts that a batch touches."""
+        n, h = len(token), self.hidden(around)
+        scale = np.float32(1 / n)
+        z = _softmax(h @ self.top + self.top_bias)
+        z[np.arange(n), (token - 1) // WIDE] -= 1
+        z *= scale
+        back = z @ self.top.T
+        for k, at in self._by_class(token):
+            own = h[at]
+            q = _softmax(own @ self.out[k] + (self.out_bias[k] + self.absent[k]))
+            q[np.arange(len(at)), (token[at] - 1) % WIDE] -= 1
+            q *= scale
+            back[at] += q @ self.out[k].T
+            yield self.out[k], self.out_seen[k], own.T @ q
+            yield self.out_bias[k], self.out_bias_seen[k], q.sum(0)
+        yield self.top, self.top_seen, h.T @ z
+        yield self.top_bias, self.top_bias_seen, z.sum(0)
+        back *= 1 - h * h
+        near, wide = self.near.reshape(-1), self.near.shape[1]
+        at = (((around + wide * np.arange(2 * SIDE)) * HIDDEN).T[:, :, None] + np.arange(HIDDEN)).ravel()
+        grad = np.bincount(at, np.broadcast_to(back, (2 * SIDE, *back.shape)).ravel(), len(near)).astype(np.float32)
+        yield near, self.near_seen.reshape(-1), grad
+
     def train(self, around: np.ndarray, token: np.ndarray) -> None:
         """One pass in the given order."""
-        near, vocab = self.near.reshape(-1), self.near.shape[1]
-        place, rate = (around + vocab * np.arange(2 * SIDE)) * HIDDEN, np.float32(RATE / BATCH)
         for a in range(0, len(token), BATCH):
-            t = token[a : a + BATCH]
-            h = self.hidden(around[a : a + BATCH])
-            z = h @ self.out
-            z += self.bias
-            z -= z.max(1, keepdims=True)
-            np.exp(z, out=z)
-            z *= rate / z.sum(1, keepdims=True)
-            z[np.arange(len(t)), t] -= rate
-            back = (z @ self.out.T) * (1 - h * h)
-            self.out -= h.T @ z
-            self.bias -= z.sum(0)
-            at = (place[a : a + BATCH].T[:, :, None] + np.arange(HIDDEN)).ravel()
-            near -= np.bincount(at, np.broadcast_to(back, (2 * SIDE, *back.shape)).ravel(), len(near)).astype(np.float32)
+            for weight, seen, grad in self.gradients(around[a : a + BATCH], token[a : a + BATCH]):
+                self._step(weight, seen, grad)
 
 
 def _around(chunk: Chunk, ids: np.ndarray) -> np.ndarray:
@@ -236,47 +298,65 @@ def _around(chunk: Chunk, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _share(docs: DataFrame, turn: int, share: int) -> DataFrame:
-    """The rows whose hash over all columns falls in a round's share."""
-    return docs.where(F.pmod(F.xxhash64(*docs.columns), F.lit(share)) == turn % share)
-
+def train_shard(texts: pa.Array, vocab: Vocabulary, start: np.ndarray) -> tuple[np.ndarray, int]:
+    """Weights after one pass over the texts in their order, and how many tokens they hold."""
+    net, seen = Network(vocab.size, start), 0
+    for _, chunk in _lowered(texts):
+        ids = vocab.ids(chunk)
+        mixed = np.random.default_rng(len(ids)).permutation(len(ids))
+        net.train(_around(chunk, ids)[mixed], ids[mixed])
+        seen += len(ids)
+    return net.flat, seen
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each piece: the sum of its rows."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for piece, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own = np.frombuffer(raw.as_py(), np.int64)
+            sums[piece] = sums[piece] + own if piece in sums else own
+    if sums:
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["piece", "sums"])
+
+
+def shards(df: DataFrame, text_col: str, id_col: str, rounds: int, tokens: int, shard_tokens: int) -> DataFrame:
+    """Documents with the ``turn`` and ``shard`` that a hash of id and text gives them, and that hash as ``mark``."""
+    docs = pick(df, id_col, text_col).toDF("id", "text").where(F.length("text") > 0)
+    n = max(1, -(-tokens // (rounds * shard_tokens)))
+    mark = F.xxhash64("id", "text")
+    return docs.select("text", mark.alias("mark"), F.pmod(mark, F.lit(rounds)).alias("turn"), F.pmod(F.xxhash64(mark, F.lit("shard")), F.lit(n)).alias("shard"))
+
+
+def fit(df: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: int = ROUNDS, id_col: str = "doc_id", shard_tokens: int = SHARD_TOKENS) -> np.ndarray:
+    """The network's weights after all rounds, among which all documents are parted."""
+    dealt, weights = shards(df, text_col, id_col, rounds, vocab.tokens, shard_tokens), Network(vocab.size).flat.astype(np.float64)
+    cuts = np.linspace(0, len(weights), PIECES + 1).astype(int)
+
+    def trainer(start: np.ndarray) -> Callable[[pa.Table], pa.Table]:
+        def each(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by([("mark", "ascending"), ("text", "ascending")])
+            flat, n = train_shard(rows["text"], vocab, start)
+            heavy = -(-n // 1000)
+            whole = np.append(np.rint(flat.astype(np.float64) * UNIT).astype(np.int64) * heavy, heavy)
+            pieces = [whole[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)] + [whole[-1:]] if n else []
+            return pa.table([pa.array(range(len(pieces)), pa.int32()), pa.array([p.tobytes() for p in pieces], pa.binary())], ["piece", "sums"])
+
+        return each
 
-def fit(df: DataFrame, vocab: Vocabulary, text_col: str = "text", rounds: int = ROUNDS, share: int | None = None, id_col: str = "doc_id") -> np.ndarray:
-    """The network's weights after all rounds, each over ``1 / share`` of the documents.
-
-    ``share`` must divide ``rounds``, so that all documents are met equally often:
-    once as it is, in every round if it is 1.
-    """
-    share = share or rounds
-    if rounds % share:
-        raise ValueError(f"{rounds} rounds over 1/{share} of the documents each do not meet all documents equally often")
-    docs, weights = pick(df, id_col, text_col), Network(vocab.size).flat.astype(np.float64)
     for turn in range(rounds):
-        start = weights
-
-        def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            net, seen = Network(vocab.size, start), 0
-            for batch in batches:
-                for _, chunk in _lowered(batch.column(0)):
-                    ids = vocab.ids(chunk)
-                    mixed = np.random.default_rng(len(ids)).permutation(len(ids))
-                    net.train(_around(chunk, ids)[mixed], ids[mixed])
-                    seen += len(ids)
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(net.flat))), pa.array(net.flat.astype(np.float64) * seen), pa.array(np.full(len(net.flat), float(seen)))], ["at", "w", "n"])
-
-        part = _share(docs, turn, share).select(text_col)
-        sums = part.mapInArrow(run, "at long, w double, n double").groupBy("at").agg(F.sum("w") / F.sum("n")).collect()  # a row for each weight
+        trained = dealt.where(F.col("turn") == turn).groupBy("shard").applyInArrow(trainer(weights), "piece int, sums binary")
+        added = trained.mapInArrow(_added, "piece int, sums binary").repartition(PIECES, "piece").mapInArrow(_added, "piece int, sums binary")
+        sums = {r.piece: np.frombuffer(r.sums, np.int64) for r in added.collect()}  # one model in pieces
         if sums:
-            weights = np.empty(len(weights))
-            weights[[r[0] for r in sums]] = [r[1] for r in sums]
+            weights = np.concatenate([sums[k] for k in range(PIECES)]) / (UNIT * sums[PIECES][0])
     return weights
 
 
 def score(df: DataFrame, vocab: Vocabulary, weights: np.ndarray, id_col: str = "doc_id", text_col: str = "text", words: Lexicon | None = None) -> DataFrame:
     """Each row's id, ``n_tokens``, ``log_prob`` (the sum) and ``mean_log_prob``.
 
-    Without ``words`` it is the network's part alone, where shapes count as tokens.
+    Without ``words`` it is the network's part alone, where buckets count as tokens.
     """
     docs = pick(df, id_col, text_col)
     schema = T.StructType([docs.schema[0], T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("mean_log_prob", T.DoubleType())])
@@ -290,7 +370,7 @@ def score(df: DataFrame, vocab: Vocabulary, weights: np.ndarray, id_col: str = "
                 ids = vocab.of(keys)
                 each = net.log_prob(_around(chunk, ids), ids)
                 if find:
-                    shaped = np.flatnonzero(ids > len(vocab.hashes))
+                    shaped = np.flatnonzero(ids <= BUCKETS)
                     each[shaped] += find(keys[shaped])
                 total = np.bincount(chunk.doc_of_word, each, chunk.n).astype(np.float64)
                 mean = total / np.maximum(chunk.n_words, 1)
