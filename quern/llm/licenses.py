@@ -43,7 +43,7 @@ THRESHOLD = 0.8
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
 #: Notices by which texts name their license.
-TEMPLATES = {
+NOTICES = {
     "agpl-3.0": "This work is licensed under the GNU Affero General Public License, version 3.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted.",
@@ -57,6 +57,24 @@ TEMPLATES = {
     "mpl-2.0": "This source code form is subject to the terms of the Mozilla Public License, version 2.0.",
 }
 
+#: What licenses themselves say, a passage of each that the others do not share.
+TEXTS = {
+    "agpl-3.0-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details.",
+    "apache-2.0-text": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    "bsd-2-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "bsd-3-clause-text": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "boost-1.0-text": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so.",
+    "cc0-1.0-text": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    "gpl-3.0-text": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-2.1-text": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "mpl-2.0-text": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "unlicense-text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "zlib-text": "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+}
+TEMPLATES = NOTICES | TEXTS
+
 _OTHER = r"\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -66,6 +84,25 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(f"([^{_OTHER}]+)"), F.lit(1))
 
 
+def _any_of(words: list[str]) -> str:
+    """A pattern of words, branching by letter, so that each letter of a text is looked at about once."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def pattern(node: dict) -> str:
+        ways = [c + pattern(below) for c, below in sorted(node.items()) if c]
+        if not ways:
+            return ""
+        joined = ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+        return f"(?:{joined})?+" if "" in node else joined
+
+    return pattern(tree)
+
+
 def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use`` of a value that is made once, however often a lambda within names it."""
     return F.transform(F.array(value), use)[0]
@@ -103,7 +140,7 @@ def _matches(text: Column, order: list[str], templates: dict[str, str], threshol
             F.lit(name).alias("name"), F.array(*map(F.lit, own)).alias("ranks"), F.array(*map(F.lit, prefix)).alias("prefix"), F.lit(need).alias("need"),
             _strings(_distinct(template)).alias("words"), _strings([order[r] for r in prefix]).alias("rare"), F.lit(len(_split(template))).alias("width"),
         ))
-    may = text.rlike(f"(?i)(?<![^{_OTHER}])(?:{'|'.join(sorted(prefixes))})(?![^{_OTHER}])")
+    may = text.rlike(f"(?i)(?<![^{_OTHER}]){_any_of(sorted(prefixes))}(?![^{_OTHER}])")
 
     ordered = _strings(order)
     ranks = lambda words: F.array_sort(F.transform(F.array_intersect(words, ordered), lambda w: F.array_position(ordered, w).cast("int") - 1))
