@@ -36,9 +36,11 @@ def squeezed(text: Column | str) -> Column:
 
 def tokenize(text: Column | str, strip: str = rules.STRIP, shortest: int = 2) -> Column:
     """Words between blanks, without punctuation at the edges, in lower case, of ``shortest`` characters or more; null gives none."""
-    words = F.split(F.coalesce(_col(text), F.lit("")), r"(?U)\s+")
-    bare = F.transform(words, lambda w: F.lower(F.btrim(w, F.lit(strip))))
-    return F.filter(bare, lambda w: F.length(w) >= shortest)
+    edge = r"[^\s" + "".join(c if c.isalnum() else "\\" + c for c in strip) + "]"
+    # from the first to the last character of a word that is no punctuation; what stands between may be any
+    core = f"(?U){edge}" if shortest < 2 else f"(?U){edge}(?=\\S{{{shortest - 1}}})\\S*{edge}"
+    words = F.regexp_extract_all(F.lower(F.coalesce(_col(text), F.lit(""))), F.lit(core if shortest >= 2 else f"{core}(?:\\S*{edge})?"), F.lit(0))
+    return words if shortest <= 2 else F.filter(words, lambda w: F.length(w) >= shortest)
 
 
 def tokenize_legacy(text: Column | str) -> Column:

@@ -6,12 +6,14 @@ import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
+from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.text import tokenize
+from ..storage import materialize
 from .ranking import by_score, top_k
 
 #: Queries that are sent to all tasks at once, at most; more are searched in blocks of so many.
@@ -21,22 +23,15 @@ QUERY_BLOCK = 4096
 def hashed_encoder(dim: int = 64) -> Callable[[Column], Column]:
     """An offline stand-in for a model: unit vectors of word counts by hash. Not a semantic encoder."""
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        buckets: dict[str, int] = {}
-        for batch in batches:
-            out = []
-            for words in batch:
-                v = np.zeros(dim)
-                for w in words:
-                    if (b := buckets.get(w)) is None:
-                        b = buckets[w] = int(hashlib.md5(w.encode()).hexdigest()[:2], 16) % dim
-                    v[b] += 1
-                norm = np.sqrt((v * v).sum())
-                out.append(v / norm if norm else v)
-                if len(buckets) > 200_000:
-                    buckets.clear()
-            yield pd.Series(out)
+    @F.arrow_udf(ArrayType(DoubleType()))
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for words in batches:
+            coded = words.flatten().dictionary_encode()
+            bucket = np.array([hashlib.md5(w.encode()).digest()[0] % dim for w in coded.dictionary.to_pylist()], np.int64)
+            row = np.repeat(np.arange(len(words)), pc.fill_null(pc.list_value_length(words), 0).to_numpy())
+            counts = np.bincount(row * dim + bucket[coded.indices.to_numpy()], minlength=len(words) * dim).reshape(-1, dim).astype(float)
+            counts /= np.maximum(np.sqrt((counts * counts).sum(1, keepdims=True)), 1)
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(words) + 1) * dim, pa.int32()), pa.array(counts.ravel()))
 
     return lambda text: encode(tokenize(text))
 
@@ -46,13 +41,19 @@ ENCODERS: dict[str, Callable[..., Callable[[Column], Column]]] = {"hashed": hash
 
 
 def first_tokens(text: Column, n: int) -> Column:
-    """The text up to its ``n``-th token."""
+    """The text up to its ``n``-th token; all of it if ``n`` is 0."""
+    if not n:
+        return F.coalesce(text, F.lit(""))
     return F.array_join(F.slice(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(\S+\s*)"), F.lit(1)), 1, n), "")
 
 
 def encode(df: DataFrame, text: str = "text", vector: str = "vector", encoder: str = "hashed", dim: int = 64, kind: str = "passage", max_tokens: int | None = None, prefix: bool = False) -> DataFrame:
-    """Adds a vector of each text. Equal texts are encoded once where ``kind`` is ``query``; long passages meet others of their length."""
-    limit = max_tokens or (64 if kind == "query" else 512)
+    """Adds a vector of each text. Equal texts are encoded once where ``kind`` is ``query``; long passages meet others of their length.
+
+    A model reads ``max_tokens`` of a text, 512 of a passage and 64 of a query by
+    default, so longer ones are to be chunked before; 0 stands for all of it.
+    """
+    limit = (64 if kind == "query" else 512) if max_tokens is None else max_tokens
     shown = first_tokens(F.col(text), limit)
     given = F.concat(F.lit(f"{kind}: "), shown) if prefix else shown
     make = ENCODERS[encoder](dim)
@@ -86,22 +87,74 @@ def vector_checks(df: DataFrame, vector: str, index: str, tolerance: float = 1e-
     )
 
 
+def _best(scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` best of a row of scores, and of those equal to the last; ids settle ties later."""
+    if len(scores) <= k:
+        return np.arange(len(scores))
+    return np.flatnonzero(scores >= np.partition(scores, len(scores) - k)[len(scores) - k])
+
+
+def _nearest(kind: DataType, queries: list, rows: DataFrame, k: int) -> DataFrame:
+    """(qid, chunk_id, *extra, score): of each task's rows the best ``k`` of every query, by one matrix product for each batch."""
+    out = StructType([StructField("qid", kind), *[f for f in rows.schema if f.name != "vector"], StructField("score", DoubleType())])
+    qids, q = [r[0] for r in queries], np.array([r[1] for r in queries], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kept = [(np.zeros(0, np.int64), np.zeros(0))] * len(qids), None
+        for batch in batches:
+            vector = batch.column("vector")
+            batch = batch.filter(pc.equal(pc.fill_null(pc.list_value_length(vector), -1), q.shape[1]))
+            if not len(batch):
+                continue
+            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
+            own = pa.Table.from_batches([batch.drop_columns(["vector"])])
+            before = 0 if kept is None else len(kept)
+            kept = own if kept is None else pa.concat_tables([kept, own])
+            scores = np.round(q @ x.T, 6) + 0.0
+            for i in range(len(qids)):
+                at, s = held[i]
+                at, s = np.append(at, before + np.arange(len(x))), np.append(s, scores[i])
+                best = _best(s, k)
+                held[i] = at[best], s[best]
+            used, place = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+            kept, cuts = kept.take(pa.array(used)), np.cumsum([0, *[len(h[0]) for h in held]])
+            held = [(place[a:b], h[1]) for a, b, h in zip(cuts[:-1], cuts[1:], held, strict=True)]
+        if kept is not None:
+            at = np.concatenate([h[0] for h in held])
+            found = kept.take(pa.array(at)).combine_chunks()
+            qid = pa.array([i for i, h in zip(qids, held, strict=True) for _ in h[0]])
+            columns = {"qid": qid, **{n: found[n] for n in found.column_names}, "score": pa.array(np.concatenate([h[1] for h in held]))}
+            yield from pa.table([columns[f.name] for f in out], out.fieldNames()).to_batches()
+
+    return rows.mapInArrow(run, out)
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, extra: tuple[str, ...] = (), where: Column | None = None, overfetch: int = 0, block: int = QUERY_BLOCK) -> DataFrame:
     """Exact nearest rows by inner product: (qid, rank, chunk_id, score, *extra). Queries hold qid and qvec; vectors chunk_id, vector and ``extra``.
 
     ``where`` filters candidates before ranking; with ``overfetch`` it filters the
-    best ``overfetch * k`` afterwards, which may leave fewer than ``k``. Vectors are
-    read once for each ``block`` queries, which alone are sent to all tasks.
+    best ``overfetch * k`` afterwards, which may leave fewer than ``k``. Queries are
+    sent to all tasks, ``block`` of them at a time; for each block the vectors are
+    read once and every task keeps its best ``k`` of each query. Nothing else moves.
     """
-    n = queries.count()
     rows = vectors.where(where) if where is not None and not overfetch else vectors
     rows = rows.select("chunk_id", "vector", *extra)
-    out = None
-    for part in range(max(1, -(-n // block))):
-        own = queries.select("qid", "qvec") if n <= block else queries.where(F.pmod(F.xxhash64("qid"), F.lit(-(-n // block))) == part).select("qid", "qvec")
-        pairs = rows.crossJoin(F.broadcast(own)).select("qid", "chunk_id", *extra, F.round(dot("qvec", "vector"), 6).alias("score"))
-        best = top_k(pairs, overfetch * k if overfetch else k, ["qid"], by_score("score", "chunk_id"))
-        out = best if out is None else out.unionByName(best)
+    kind, most = queries.schema["qid"].dataType, overfetch * k if overfetch else k
+    asked, out = queries.select("qid", "qvec").where("qvec IS NOT NULL"), None
+    some = asked.limit(block + 1).collect()  # a block
+    if len(some) > block:
+        asked = materialize(asked, "queries")
+        parts = -(-asked.count() * 5 // (4 * block))
+        blocks = (asked.where(F.pmod(F.xxhash64("qid"), F.lit(parts)) == i).collect() for i in range(parts))
+    else:
+        blocks = iter([some])
+    for own in blocks:
+        if own:
+            best = _nearest(kind, own, rows, most)
+            out = best if out is None else out.unionByName(best)
+    if out is None:
+        return queries.sparkSession.createDataFrame([], StructType([StructField("qid", kind), StructField("rank", IntegerType()), rows.schema["chunk_id"], StructField("score", DoubleType()), *[rows.schema[c] for c in extra]]))
+    out = top_k(out, most, ["qid"], by_score("score", "chunk_id"))
     if where is not None and overfetch:
         out = top_k(out.where(where).drop("rank"), k, ["qid"], by_score("score", "chunk_id"))
     return out.select("qid", "rank", "chunk_id", "score", *extra)

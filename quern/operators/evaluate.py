@@ -18,6 +18,26 @@ def relevant_documents(passages: DataFrame, query: str = "query_id", document: s
     return passages.where("is_selected = 1").select(F.col(query).alias("qid"), F.col(document).alias("document_id")).distinct()
 
 
+def holding(documents: DataFrame, items: DataFrame, lead: int = 6, document: str = "doc_id") -> DataFrame:
+    """(qid, document_id) of documents that contain an item's text.
+
+    An item's second to last-but-one words, ``lead`` of them, must stand in the
+    document whole; their hash is joined with those of the document's windows that
+    some item has, and ``contains`` decides. Items of fewer words meet all documents.
+    """
+    words = lambda c: F.split(F.regexp_replace(c, r"^\s+|\s+$", ""), r"\s+")
+    asked = items.where(F.length("text") > 0).select("qid", F.col("text").alias("_t"), words(F.col("text")).alias("_w"))
+    long, short = asked.where(F.size("_w") >= lead + 2), asked.where(F.size("_w") < lead + 2)
+    keyed = long.select("qid", "_t", F.xxhash64(F.array_join(F.slice("_w", 2, lead), " ")).alias("_h"))
+    docs = documents.select(F.col(document).alias("document_id"), F.col("text").alias("_text"))
+    windows = F.transform(F.sequence(F.lit(1), F.size("_w") - (lead - 1)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(lead)), " ")))
+    each = docs.withColumn("_w", words(F.col("_text"))).where(F.size("_w") >= lead).select("document_id", F.explode(F.array_distinct(windows)).alias("_h"))
+    likely = each.join(keyed, "_h").select("document_id", "qid", "_t")
+    found = likely.join(docs, "document_id").where(F.contains("_text", "_t")).select("qid", "document_id")
+    rest = docs.join(short, F.contains("_text", "_t")).select("qid", "document_id")
+    return found.unionByName(rest).distinct()
+
+
 def evaluated_queries(queries: DataFrame, qrels: DataFrame, text: str = "text") -> DataFrame:
     """Queries with a text and at least one relevant document."""
     return queries.where(F.coalesce(F.trim(text), F.lit("")) != "").join(qrels.select("qid").distinct(), "qid", "left_semi")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import detect_script, tokenize, tokenize_legacy
+from ..storage import materialize
 from .ranking import by_score, top_k
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -29,13 +30,19 @@ class Index:
     terms: DataFrame
 
 
-def build_index(chunks: DataFrame, variant: str = "lucene", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON) -> Index:
-    """From chunks (chunk_id, lang, text). ``lucene``: idf never negative; ``okapi``: negative ones become a share of the mean."""
+def build_index(chunks: DataFrame, variant: str = "lucene", text: str = "text", k1: float = K1, b: float = B, epsilon: float = EPSILON, staged: bool = False) -> Index:
+    """From chunks (chunk_id, lang, text). ``lucene``: idf never negative; ``okapi``: negative ones become a share of the mean.
+
+    ``staged`` writes term counts and lengths first, so that texts are read twice
+    and not for each of the index's tables.
+    """
+    stage = materialize if staged else lambda df, _: df
     words = (tokenize_legacy if variant == "okapi" else tokenize)(text)
     each = chunks.select("lang", "chunk_id", words.alias("words"))
-    lengths = each.select("lang", "chunk_id", F.size("words").cast("long").alias("dl"))
+    lengths = stage(each.select("lang", "chunk_id", F.size("words").cast("long").alias("dl")), "lengths")
     stats = lengths.groupBy("lang").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     tf = each.select("lang", "chunk_id", F.explode("words").alias("term")).groupBy("lang", "chunk_id", "term").agg(F.count("*").alias("tf"))
+    tf = stage(tf, "counts")
     terms = tf.groupBy("lang", "term").agg(F.count("*").alias("df")).join(stats, "lang")
     if variant == "okapi":
         raw = terms.withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import Config
 from ..functions import rules
 from ..operators import answers, evaluate, generation, sparse
 from ..streaming.answers import events
-from . import answering, views
+from . import answering, served, views
 from .q_corpus import CYRILLIC_SQL, DEVA_SQL, LATIN_SQL
-from .q_retrieval import bm25_cte, hybrid, one_index, passage_vectors, rrf_cte, vectors_cte
+from .q_retrieval import bm25_cte, hybrid, rrf_cte, vectors_cte
 from .registry import query, quoted, values
 from .views import QUESTIONS, sentences_sql, terms_sql, tokens_sql
 
@@ -19,24 +19,37 @@ CONFIG = Config()
 STRIPPED = r"regexp_replace(coalesce({}, ''), '^\s+|\s+$', '', 'g')"
 
 
+#: Each document with an item: those numbered alike, by the items' own order and round again, so that all of both are used.
+PAIRED = """(SELECT d.doc_id, d.text, q.text AS claim FROM documents d
+  JOIN (SELECT text, row_number() OVER (ORDER BY item_id) - 1 AS place, count(*) OVER () AS n FROM benchmark) q ON ((d.doc_id % n) + n) % n = place)"""
+
+
+def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document with a benchmark text as a claim to be held against it: doc_id, text, claim."""
+    items = views.questions(spark, sf_dir)
+    n = items.count()
+    numbered = items.select(F.col("text").alias("claim"), (F.row_number().over(Window.orderBy("qid")) - 1).alias("place"))  # the benchmark, a small table
+    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(max(n, 1))).alias("place"))
+    return docs.join(numbered, "place").select("doc_id", "text", "claim")
+
+
 def _score_sql(found: str, terms: str, words: str) -> str:
     return f"CASE WHEN {found} = 0 THEN 0.0 ELSE 0.75 * {found} / len({terms}) + 0.25 * least({found} / sqrt(len({words})), 1.0) END"
 
 
 @query(f"""SELECT doc_id, round({_score_sql('m', 't', 'w')}, 6) AS score, CASE WHEN len(t) = 0 THEN 0.0 ELSE round(m / len(t), 6) END AS coverage
   FROM (SELECT doc_id, t, w, len(list_filter(t, lambda x: list_contains(w, x))) AS m
-    FROM (SELECT d.doc_id, list_distinct({terms_sql('q.text')}) AS t, {tokens_sql('d.text')} AS w FROM documents d JOIN {QUESTIONS} q ON q.qid = d.doc_id % 40))""")
+    FROM (SELECT doc_id, list_distinct({terms_sql('claim')}) AS t, {tokens_sql('text')} AS w FROM {PAIRED}))""")
 def score_sentence(spark, sf_dir):
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("qid"))
-    asked = views.questions(spark, sf_dir).select("qid", answers.content_terms("text").alias("terms"))
-    scored = docs.join(asked, "qid").select("doc_id", answers.score_sentence(F.col("text"), F.col("terms")).alias("s"))
+    docs = claims(spark, sf_dir).withColumn("terms", answers.content_terms("claim"))
+    scored = docs.select("doc_id", answers.score_sentence(F.col("text"), F.col("terms")).alias("s"))
     return scored.select("doc_id", F.round("s.score", 6).alias("score"), F.round("s.coverage", 6).alias("coverage"))
 
 
-_HITS3 = f"""{bm25_cte(global_index=True)},
-hits AS (SELECT s.qid, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, s.chunk_id) AS rank, s.chunk_id, d.lang, d.text FROM scores s JOIN documents d ON d.doc_id = s.chunk_id QUALIFY rank <= 3),
-asked AS (SELECT qid, list_distinct({terms_sql('text')}) AS t FROM {QUESTIONS}),
-sent AS (SELECT qid, rank, chunk_id, lang, i, {STRIPPED.format('ss[i]')} AS s FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT *, {sentences_sql(STRIPPED.format('text'))} AS ss FROM hits))),
+def extract_cte(hits: str = "hits", asked: str = QUESTIONS) -> str:
+    """``parts``, joined by position, and ``cand``, the scored sentences, of the first three ``hits`` (qid, rank, chunk_id, lang, text)."""
+    return f"""asked AS (SELECT qid, list_distinct({terms_sql('text')}) AS t FROM {asked}),
+sent AS (SELECT qid, rank, chunk_id, lang, i, {STRIPPED.format('ss[i]')} AS s FROM (SELECT *, unnest(range(1, len(ss) + 1)) AS i FROM (SELECT *, {sentences_sql(STRIPPED.format('text'))} AS ss FROM {hits} WHERE rank <= 3))),
 cand0 AS (SELECT sent.*, t, {tokens_sql('s')} AS w, len(list_filter(t, lambda x: list_contains({tokens_sql('s')}, x))) AS m FROM sent JOIN asked USING (qid) WHERE length(s) >= 20),
 cand1 AS (SELECT *, {_score_sql('m', 't', 'w')} * (1.0 / (1.0 + 0.15 * (rank - 1))) AS score, m / len(t) AS coverage FROM cand0 WHERE m > 0),
 cand AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rank, i) AS rn FROM cand1),
@@ -45,25 +58,24 @@ chosen AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY last, rn) AS p
 parts AS (SELECT *, sum(length(s)) OVER (PARTITION BY qid ORDER BY pos) AS total FROM chosen)"""
 
 
+_HITS3 = f"""{bm25_cte(global_index=True)},
+hits AS (SELECT s.qid, row_number() OVER (PARTITION BY s.qid ORDER BY s.score DESC, s.chunk_id) AS rank, s.chunk_id, d.lang, d.text FROM scores s JOIN documents d ON d.doc_id = s.chunk_id QUALIFY rank <= 3),
+{extract_cte()}"""
+
+
 @query(rf"""WITH {_HITS3}
 SELECT qid, regexp_replace(string_agg(s, ' ' ORDER BY pos), '\s+', ' ', 'g') AS answer, CAST(count(*) AS INT) AS sentences, round(max(b.score), 6) AS score, round(max(b.coverage), 6) AS coverage
 FROM parts JOIN (SELECT qid, score, coverage FROM cand WHERE rn = 1) b USING (qid) WHERE pos = 1 OR total <= 400 GROUP BY qid""")
 def extract_answer(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
-    hits = sparse.search(sparse.build_index(one_index(chunks)), views.questions(spark, sf_dir), 3).drop("lang").join(chunks, "chunk_id")
+    hits = sparse.search(served.lexical(spark, sf_dir, by_language=False), views.questions(spark, sf_dir), 3).drop("lang").join(chunks, "chunk_id")
     own = F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), F.col("document_id").cast("string").alias("document_id"), "score", "lang", "text"))), lambda h: F.struct(h["chunk_id"].alias("chunk_id"), h["document_id"].alias("document_id"), h["score"].alias("score"), h["lang"].alias("lang"), h["text"].alias("text")))
     grouped = hits.groupBy("qid").agg(own.cast(f"array<{answers.HIT}>").alias("hits")).join(views.questions(spark, sf_dir), "qid")
     found = grouped.select("qid", answers.extract_answer(F.col("text"), F.col("hits")).alias("a"))
     return found.select("qid", "a.answer", "a.sentences", F.round("a.score", 6).alias("score"), F.round("a.coverage", 6).alias("coverage"))
 
 
-def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document with a benchmark text as a claim to be held against it."""
-    docs = views.table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("qid"))
-    return docs.join(views.questions(spark, sf_dir).select("qid", F.col("text").alias("claim")), "qid")
-
-
-_CLAIMS = f"(SELECT d.doc_id, list_distinct({terms_sql('q.text')}) AS a, list_distinct({terms_sql('d.text')}) AS c FROM documents d JOIN {QUESTIONS} q ON q.qid = d.doc_id % 40"
+_CLAIMS = f"(SELECT doc_id, list_distinct({terms_sql('claim')}) AS a, list_distinct({terms_sql('text')}) AS c FROM {PAIRED}"
 
 
 @query(f"""SELECT doc_id, CASE WHEN len(a) = 0 OR len(c) = 0 THEN 0.0 ELSE round(len(list_filter(a, lambda x: list_contains(c, x))) / len(a), 6) END AS grounded
@@ -161,7 +173,7 @@ def parse_answer(spark, sf_dir):
   FROM {QUESTIONS} q JOIN (SELECT qid, string_agg('[Source ' || rank || '] chunk_id=' || chunk_id || ' lang=' || lang || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS blocks FROM hits GROUP BY qid) b USING (qid)""")
 def build_prompt(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
-    hits = sparse.search(sparse.build_index(one_index(chunks)), views.questions(spark, sf_dir), 3).drop("lang").join(chunks, "chunk_id")
+    hits = sparse.search(served.lexical(spark, sf_dir, by_language=False), views.questions(spark, sf_dir), 3).drop("lang").join(chunks, "chunk_id")
     lists = hits.groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", F.col("chunk_id").cast("string").alias("chunk_id"), "lang", "text"))).alias("hits"))
     return lists.join(views.questions(spark, sf_dir), "qid").select("qid", F.md5(generation.build_prompt(F.col("text"), F.col("hits"))).alias("digest"))
 
@@ -192,33 +204,70 @@ LOOSE = Config(min_cosine=0.2)
 
 def answered(spark: SparkSession, sf_dir: str, asked: DataFrame | None = None, **options) -> DataFrame:
     """Questions answered from all documents, with a cosine floor for the offline encoder."""
-    chunks = one_index(views.chunks(spark, sf_dir))
     asked = views.questions(spark, sf_dir) if asked is None else asked
-    return answering.answer(chunks, passage_vectors(spark, sf_dir), sparse.build_index(chunks), asked, [("all", "Latin")], LOOSE, **options)
+    return answering.answer(views.chunks(spark, sf_dir), served.vectors(spark, sf_dir), served.lexical(spark, sf_dir), asked, views.LANGUAGES, LOOSE, **options)
 
 
-@query()
+def _answers_sql(asked: str = QUESTIONS, model: bool = True) -> str:
+    """``result``: the outcome of each question, as the whole cascade gives it."""
+    n = lambda p: f"len(regexp_extract_all(substr(t, 1, 160), '{p}'))"
+    any_of = lambda patterns: " OR ".join(f"regexp_matches(t, {quoted('(?i)' + p)})" for p in patterns)
+    message = "CASE reason " + " ".join(f"WHEN {quoted(r)} THEN {quoted(m)}" for r, m in rules.REFUSALS.items()) + f" ELSE {quoted(rules.REFUSAL_OTHERWISE)} END"
+    allowed = "(SELECT qid, text FROM guarded WHERE reason IS NULL)"
+    return f"""guarded AS MATERIALIZED (SELECT qid, text, t, CASE WHEN t = '' THEN 'empty_query' WHEN length(t) < 3 THEN 'query_too_short' WHEN length(t) > 512 THEN 'query_too_long'
+  WHEN {any_of(rules.INJECTION)} THEN 'prompt_injection' WHEN {any_of(rules.UNSAFE)} THEN 'unsafe_content'
+  WHEN {n(CYRILLIC_SQL)} > greatest({n(LATIN_SQL)}, {n(DEVA_SQL)}) THEN 'unsupported_script' END AS reason FROM (SELECT qid, text, {STRIPPED.format('text')} AS t FROM {asked})),
+{vectors_cte(allowed)}, {rrf_cte(cap=2)},
+hits AS MATERIALIZED (SELECT f.*, d.lang, d.text FROM fused f JOIN documents d ON d.doc_id = f.chunk_id WHERE rank <= 5),
+sig AS (SELECT qid, count(*) AS n_hits, max(rrf_score) AS best_rrf, coalesce(max(dense_score), 0.0) AS best_cosine, CASE WHEN count(*) < 2 THEN 1.0 ELSE round(max(rrf_score) FILTER (rank = 1) - max(rrf_score) FILTER (rank = 2), 6) END AS score_margin FROM hits GROUP BY qid),
+conf AS (SELECT qid, CASE WHEN s >= 0.010 AND g >= 0.030 THEN 'high' WHEN s >= 0.006 OR g >= 0.020 THEN 'medium' ELSE 'low' END AS level
+  FROM (SELECT qid, stddev_pop(score) AS s, max(score) - min(score) FILTER (rank <= 10) AS g FROM dense_hits GROUP BY qid)),
+{extract_cte('hits', allowed)},
+extracted AS (SELECT h.qid, coalesce(p.answer, CASE WHEN len(a.t) > 0 THEN rtrim(substr({STRIPPED.format('h.text')}, 1, 400)) END, '') AS extractive, substr(h.text, 1, 200) AS opening
+  FROM hits h JOIN asked a USING (qid) LEFT JOIN (SELECT qid, regexp_replace(string_agg(s, ' ' ORDER BY pos), '\\s+', ' ', 'g') AS answer FROM parts WHERE pos = 1 OR total <= 400 GROUP BY qid) p USING (qid) WHERE h.rank = 1),
+held AS (SELECT qid, list_distinct({terms_sql("'[echo] ' || opening")}) AS own, list_distinct({terms_sql('context')}) AS there
+  FROM extracted JOIN (SELECT qid, string_agg(text, ' ' ORDER BY rank) AS context FROM hits WHERE rank <= 3 GROUP BY qid) USING (qid)),
+judged AS (SELECT g.qid, g.t, g.reason AS asked_reason, coalesce(n_hits, 0) AS n_hits, coalesce(best_rrf, 0.0) AS best_rrf, coalesce(best_cosine, 0.0) AS best_cosine, coalesce(score_margin, 1.0) AS score_margin, coalesce(level, 'none') AS confidence_level, extractive, opening,
+  CASE WHEN len(own) = 0 OR len(there) = 0 THEN 0.0 ELSE len(list_filter(own, lambda x: list_contains(there, x))) / len(own) END AS support,
+  CASE WHEN {n(DEVA_SQL)} > {n(LATIN_SQL)} THEN 'DEVANAGARI' WHEN {n(LATIN_SQL)} > 0 THEN 'LATIN' END AS script
+  FROM guarded g LEFT JOIN sig USING (qid) LEFT JOIN conf USING (qid) LEFT JOIN extracted USING (qid) LEFT JOIN held USING (qid)),
+cased AS (SELECT *, CASE WHEN asked_reason IS NOT NULL THEN asked_reason WHEN n_hits = 0 OR best_rrf < 0.005 THEN 'no_relevant_context' WHEN best_cosine < 0.2 THEN 'low_similarity'
+  {"WHEN support < 0.45 THEN 'ungrounded_answer' WHEN script = 'DEVANAGARI' THEN 'language_mismatch' ELSE 'ok'" if model else "ELSE 'llm_not_configured'"} END AS reason FROM judged),
+moded AS (SELECT *, CASE WHEN asked_reason IS NOT NULL OR reason IN ('no_relevant_context', 'low_similarity') OR (reason = 'ungrounded_answer' AND extractive = '') THEN 'refused' WHEN reason IN ('ungrounded_answer', 'llm_not_configured') THEN 'extractive' ELSE 'generated' END AS answer_mode FROM cased),
+result AS (SELECT qid, answer_mode, reason, answer_mode = 'extractive' AS degraded, answer_mode <> 'refused' AND CASE answer_mode WHEN 'extractive' THEN extractive ELSE '[echo] ' || opening END <> '' AS grounded,
+  CASE answer_mode WHEN 'refused' THEN {message} WHEN 'extractive' THEN extractive ELSE '[echo] ' || opening END AS answer, confidence_level, n_hits, best_rrf, best_cosine, score_margin FROM moded)"""
+
+
+@query(f"WITH {_answers_sql()} SELECT qid, {', '.join(answering.RESULT)} FROM result")
 def pipeline_answer(spark, sf_dir):
     return answered(spark, sf_dir).select("qid", *answering.RESULT)
 
 
-@query()
+@query(f"WITH {_answers_sql(model=False)} SELECT qid, {', '.join(answering.RESULT)} FROM result")
 def pipeline_extractive(spark, sf_dir):
     return answered(spark, sf_dir, provider=None).select("qid", *answering.RESULT)
 
 
-@query()
+_REFUSED = f"(SELECT CAST(-id AS BIGINT) AS qid, text FROM {values(ASKED, 'id, text')})"
+
+
+@query(f"WITH {_answers_sql(_REFUSED)} SELECT qid, answer_mode, reason, answer FROM result")
 def pipeline_refusals(spark, sf_dir):
     own = spark.createDataFrame([(-i, t) for i, t in ASKED], "qid long, text string")
     return answered(spark, sf_dir, own).select("qid", "answer_mode", "reason", "answer")
 
 
-@query()
+@query(rf"""WITH {_answers_sql()}, listed AS (SELECT qid, unnest(list_concat([{{'event': 'retrieval', 'said': CAST(n_hits AS VARCHAR)}}], CASE WHEN n_hits > 0 THEN [{{'event': 'extractive', 'said': extractive}}] ELSE [] END,
+  CASE WHEN answer_mode = 'generated' THEN list_transform(regexp_extract_all(answer, '\s*\S+\s*'), lambda w: {{'event': 'token', 'said': w}}) ELSE [] END, [{{'event': 'done', 'said': answer_mode}}])) AS e, generate_subscripts(
+  list_concat([1], CASE WHEN n_hits > 0 THEN [1] ELSE [] END, CASE WHEN answer_mode = 'generated' THEN list_transform(regexp_extract_all(answer, '\s*\S+\s*'), lambda w: 1) ELSE [] END, [1]), 1) - 1 AS seq
+  FROM result JOIN (SELECT qid, extractive FROM moded) USING (qid)) SELECT qid, CAST(seq AS INT) AS seq, e.event AS event, e.said AS said FROM listed""")
 def answer_events(spark, sf_dir):
-    return events(answered(spark, sf_dir)).select("qid", "seq", "event", "payload")
+    rows = events(answered(spark, sf_dir))
+    field = lambda event, name: F.when(F.col("event") == event, F.get_json_object("payload", f"$.{name}"))
+    return rows.select("qid", "seq", "event", F.coalesce(field("retrieval", "n_hits"), field("extractive", "answer"), field("token", "text"), field("done", "answer_mode")).alias("said"))
 
 
-@query("SELECT 1 AS languages, count(*) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, 'ready' AS status, 5 AS top_k, 'adaptive' AS chunk_strategy FROM documents")
+@query("SELECT CAST(count(DISTINCT lang) AS INT) AS languages, count(*) AS chunks, (SELECT count(*) FROM embeddings) AS vectors, 'ready' AS status, 5 AS top_k, 'adaptive' AS chunk_strategy FROM documents")
 def health(spark, sf_dir):
-    out = answering.health(sparse.build_index(one_index(views.chunks(spark, sf_dir))), views.vectors(spark, sf_dir), CONFIG)
+    out = answering.health(served.lexical(spark, sf_dir), views.vectors(spark, sf_dir), CONFIG)
     return out.select(F.col("languages").cast("int").alias("languages"), "chunks", "vectors", "status", "top_k", "chunk_strategy")

@@ -6,19 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evaluate, ranking, sparse
-from . import views
-from .q_retrieval import bm25_cte, one_index, ranked_lists, rrf_cte, vectors_cte
+from . import served, views
+from .q_retrieval import bm25_cte, ranked_lists, rrf_cte, vectors_cte
 from .registry import query
 from .views import PASSAGES
 
 QRELS = "(SELECT b.item_id AS qid, d.doc_id AS document_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
+#: Words by whose hash a benchmark text is looked for in documents.
+LEAD = 6
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark text; the benchmark is a fixed small table."""
-    items = F.broadcast(views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("_t")))
-    docs = views.table(spark, sf_dir, "documents")
-    return docs.join(items, F.contains(docs["text"], items["_t"])).select("qid", F.col("doc_id").alias("document_id"))
+    """Documents that hold a benchmark text."""
+    return evaluate.holding(views.table(spark, sf_dir, "documents"), views.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text"), LEAD)
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +91,7 @@ SELECT source, target, count(*) AS n_queries, round(avg(hit), 4) AS recall FROM
 def cross_lingual(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
     docs = chunks.select("document_id", "lang", F.floor(F.col("document_id") / 10).cast("long").alias("group"))
-    hits = sparse.search(sparse.build_index(chunks), views.questions(spark, sf_dir), 10, per_language=True).withColumnRenamed("chunk_id", "document_id")
+    hits = sparse.search(served.lexical(spark, sf_dir), views.questions(spark, sf_dir), 10, per_language=True).withColumnRenamed("chunk_id", "document_id")
     asked = qrels(spark, sf_dir).join(docs, "document_id").select("qid", F.col("lang").alias("source"), "group").distinct()
     return evaluate.cross_lingual(hits, asked, docs)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..config import Config
 from ..functions import rules
 from ..operators import dense, fusion, sparse
-from . import views
+from ..storage import materialize
+from . import served, views
 from .registry import query, values
 from .views import QUESTIONS, tokens_sql
 
@@ -31,7 +32,7 @@ def route_languages(spark, sf_dir):
 # ---- lexical -----------------------------------------------------------------
 
 
-def bm25_cte(okapi: bool = False, global_index: bool = False, suffix: str = "") -> str:
+def bm25_cte(okapi: bool = False, global_index: bool = False, suffix: str = "", asked: str = QUESTIONS) -> str:
     """``scores{suffix}``: qid, lang, chunk_id, score."""
     strip, lang = (rules.STRIP_SHORT if okapi else rules.STRIP), ("'all'" if global_index else "lang")
     x = suffix
@@ -44,18 +45,14 @@ tf{x} AS (SELECT lang, chunk_id, term, count(*) AS tf FROM (SELECT lang, chunk_i
 df{x} AS (SELECT lang, term, count(*) AS df FROM tf{x} GROUP BY ALL),
 mean{x} AS (SELECT lang, avg(ln(n - df + 0.5) - ln(df + 0.5)) AS m FROM df{x} JOIN st{x} USING (lang) GROUP BY lang),
 idf{x} AS (SELECT lang, term, {idf} AS idf, avgdl FROM df{x} JOIN st{x} USING (lang) JOIN mean{x} USING (lang)),
-qt{x} AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({tokens_sql('text', strip)}) AS term FROM {QUESTIONS}) GROUP BY ALL),
+qt{x} AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({tokens_sql('text', strip)}) AS term FROM {asked}) GROUP BY ALL),
 scores{x} AS (SELECT qid, lang, chunk_id, round(sum(times * idf * tf{' * 2.5' if okapi else ''} / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score
   FROM qt{x} JOIN tf{x} USING (term) JOIN idf{x} USING (lang, term) JOIN len{x} USING (lang, chunk_id) GROUP BY ALL HAVING score > 0)"""
 
 
-def one_index(chunks: DataFrame) -> DataFrame:
-    return chunks.withColumn("lang", F.lit("all"))
-
-
 @query(f"WITH {bm25_cte()} SELECT lang, n, round(avgdl, 6) AS avgdl, count(*) AS terms, CAST(sum(df) AS BIGINT) AS postings, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5))), 4) AS idf_sum FROM df JOIN st USING (lang) GROUP BY ALL")
 def bm25_stats(spark, sf_dir):
-    index = sparse.build_index(views.chunks(spark, sf_dir))
+    index = served.lexical(spark, sf_dir)
     terms = index.terms.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("df").alias("postings"), F.round(F.sum("idf"), 4).alias("idf_sum"))
     return index.stats.select("lang", "n", F.round("avgdl", 6).alias("avgdl")).join(terms, "lang")
 
@@ -65,12 +62,12 @@ _TOP = "SELECT qid, CAST(row_number() OVER (PARTITION BY {by} ORDER BY score DES
 
 @query(f"WITH {bm25_cte(global_index=True)} {_TOP.format(by='qid', t='scores', k=20)}")
 def bm25_topk(spark, sf_dir):
-    return sparse.search(sparse.build_index(one_index(views.chunks(spark, sf_dir))), views.questions(spark, sf_dir), 20).select("qid", "rank", "chunk_id", "lang", "score")
+    return sparse.search(served.lexical(spark, sf_dir, by_language=False), views.questions(spark, sf_dir), 20).select("qid", "rank", "chunk_id", "lang", "score")
 
 
 @query(f"WITH {bm25_cte(okapi=True, global_index=True)} {_TOP.format(by='qid', t='scores', k=20)}")
 def bm25_okapi_topk(spark, sf_dir):
-    index = sparse.build_index(one_index(views.chunks(spark, sf_dir)), "okapi")
+    index = served.lexical(spark, sf_dir, "okapi", False)
     return sparse.search(index, views.questions(spark, sf_dir), 20, "okapi").select("qid", "rank", "chunk_id", "lang", "score")
 
 
@@ -78,14 +75,14 @@ def bm25_okapi_topk(spark, sf_dir):
 def bm25_per_lang_merge(spark, sf_dir):
     from ..operators.ranking import merge_ranked
 
-    hits = sparse.search(sparse.build_index(views.chunks(spark, sf_dir)), views.questions(spark, sf_dir), 20, per_language=True)
+    hits = sparse.search(served.lexical(spark, sf_dir), views.questions(spark, sf_dir), 20, per_language=True)
     return merge_ranked(hits, 20).select("qid", "rank", "chunk_id", "lang", "score")
 
 
 @query(f"WITH {bm25_cte()} {_TOP.format(by='qid', t='''(SELECT * FROM scores WHERE lang IN ('en', 'fr'))''', k=20)}")
 def bm25_restricted(spark, sf_dir):
     asked = views.questions(spark, sf_dir).withColumn("langs", F.array(F.lit("en"), F.lit("fr")))
-    return sparse.search(sparse.build_index(views.chunks(spark, sf_dir)), asked, 20).select("qid", "rank", "chunk_id", "lang", "score")
+    return sparse.search(served.lexical(spark, sf_dir), asked, 20).select("qid", "rank", "chunk_id", "lang", "score")
 
 
 # ---- vectors -----------------------------------------------------------------
@@ -139,20 +136,17 @@ def resume_encoding(spark, sf_dir):
 
 # ---- fusion ------------------------------------------------------------------
 
-_HEAD = r"array_to_string(regexp_extract_all(text, '\S+\s*')[1:{n}], '')"
-
-
-def vectors_cte() -> str:
-    """``dense_hits``: qid, chunk_id, score, rank of the hashed encoder's cosines, and ``sparse_hits`` of one lexical index."""
+def vectors_cte(asked: str = QUESTIONS) -> str:
+    """``dense_hits``: qid, chunk_id, score, rank of the hashed encoder's cosines, and ``sparse_hits`` of the languages' lexical indexes."""
     bucket = "CAST('0x' || substr(md5(term), 1, 2) AS INT) % 64"
-    side = lambda name, src, key, n: f"""
-{name}0 AS (SELECT {key}, {bucket} AS b, count(*) AS c FROM (SELECT {key}, unnest({tokens_sql(_HEAD.format(n=n))}) AS term FROM {src}) GROUP BY ALL),
+    side = lambda name, src, key: f"""
+{name}0 AS (SELECT {key}, {bucket} AS b, count(*) AS c FROM (SELECT {key}, unnest({tokens_sql('text')}) AS term FROM {src}) GROUP BY ALL),
 {name} AS (SELECT {key}, b, c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS x FROM {name}0)"""
-    return f"""{side('dv', '(SELECT doc_id AS chunk_id, text FROM documents)', 'chunk_id', 512)},
-{side('qv', QUESTIONS, 'qid', 64)},
+    return f"""{side('dv', '(SELECT doc_id AS chunk_id, text FROM documents)', 'chunk_id')},
+{side('qv', asked, 'qid')},
 cosines AS (SELECT qid, chunk_id, round(sum(qv.x * dv.x), 6) AS score FROM qv JOIN dv USING (b) GROUP BY ALL),
 dense_hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM cosines QUALIFY rank <= 20),
-{bm25_cte(global_index=True)},
+{bm25_cte(asked=asked)},
 sparse_hits AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS rank FROM scores QUALIFY rank <= 20)"""
 
 
@@ -167,17 +161,19 @@ def rrf_cte(dw: float = 1.0, sw: float = 0.1, cap: int = 0, owner: str = "doc_id
 {name} AS (SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY {order}) AS INT) AS rank, chunk_id, document_id, CAST(dense_rank AS INT) AS dense_rank, CAST(sparse_rank AS INT) AS sparse_rank, dense_score, sparse_score, round(raw, 6) AS rrf_score FROM {name}1)"""
 
 
-def passage_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dense.encode(views.chunks(spark, sf_dir), max_tokens=CONFIG.passage_max_tokens).select("chunk_id", "vector")
+def asked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions with their vectors and the languages that their script is routed to."""
+    asked = dense.encode(views.questions(spark, sf_dir), vector="qvec", kind="query", max_tokens=0)
+    return asked.withColumn("langs", sparse.route_languages("text", views.LANGUAGES))
 
 
 def ranked_lists(spark: SparkSession, sf_dir: str, owner: str = "document_id", k: int = 20) -> tuple[DataFrame, DataFrame]:
     chunks = views.chunks(spark, sf_dir)
     owners = chunks.select("chunk_id", F.col(owner).alias("document_id"))
-    asked = dense.encode(views.questions(spark, sf_dir), vector="qvec", kind="query")
-    near = dense.knn(asked, passage_vectors(spark, sf_dir), k).join(owners, "chunk_id")
-    words = sparse.search(sparse.build_index(one_index(chunks)), views.questions(spark, sf_dir), k).join(owners, "chunk_id")
-    return near, words
+    asked = asked_vectors(spark, sf_dir)
+    near = dense.knn(asked, served.vectors(spark, sf_dir), k).join(owners, "chunk_id")
+    words = sparse.search(served.lexical(spark, sf_dir), asked, k).join(owners, "chunk_id")
+    return materialize(near, "near"), materialize(words, "words")
 
 
 FUSED = "qid, rank, chunk_id, document_id, dense_rank, sparse_rank, dense_score, sparse_score, rrf_score"
@@ -199,9 +195,7 @@ def rrf_legacy(spark, sf_dir):
 
 
 def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = views.chunks(spark, sf_dir)
-    asked = dense.encode(views.questions(spark, sf_dir), vector="qvec", kind="query")
-    return fusion.hybrid_search(one_index(chunks), passage_vectors(spark, sf_dir), sparse.build_index(one_index(chunks)), asked, CONFIG)
+    return fusion.hybrid_search(views.chunks(spark, sf_dir), served.vectors(spark, sf_dir), served.lexical(spark, sf_dir), asked_vectors(spark, sf_dir), CONFIG)
 
 
 @query(f"WITH {vectors_cte()}, {rrf_cte(cap=2)} SELECT {FUSED}, md5(d.text) AS digest FROM fused f JOIN documents d ON d.doc_id = f.chunk_id WHERE rank <= 5")
@@ -213,5 +207,5 @@ def hybrid_search(spark, sf_dir):
 @query(f"WITH {bm25_cte(global_index=True)}, l AS ({_TOP.format(by='qid', t='scores', k=3)}) SELECT l.qid, l.rank, l.chunk_id, d.lang, length(d.text) AS n_chars FROM l JOIN documents d ON d.doc_id = l.chunk_id")
 def hydrate(spark, sf_dir):
     chunks = views.chunks(spark, sf_dir)
-    hits = sparse.search(sparse.build_index(one_index(chunks)), views.questions(spark, sf_dir), 3).drop("lang")
+    hits = sparse.search(served.lexical(spark, sf_dir, by_language=False), views.questions(spark, sf_dir), 3).drop("lang")
     return fusion.hydrate(hits, chunks).select("qid", "rank", "chunk_id", "lang", F.length("text").cast("long").alias("n_chars"))

@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.text import count_tokens
+from ..sources.tables import spread
 from .registry import quoted
 
+#: Tables whose rows cost enough to deal them to all cores.
+TEXTS = ("documents",)
 LANGUAGES = [("de", "Latin"), ("en", "Latin"), ("es", "Latin"), ("fr", "Latin")]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet")) if name in TEXTS else spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:

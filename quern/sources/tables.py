@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from collections.abc import Callable, Sequence
 from pathlib import Path
@@ -22,6 +23,19 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[str] | None = N
     return df.select(*columns) if columns else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt to all cores where a small table comes in fewer splits than those; a larger one is left as it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """A digest of a table's files: names, lengths and times of change."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(at)
+    return hashlib.md5(repr(sorted((f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files)).encode()).hexdigest()
+
+
 def read_with_position(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
     """A Parquet table with ``source_file`` and ``row_index``, each row's place in its file."""
     return spark.read.parquet(path).select(*(columns or ["*"]), F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.row_index").alias("row_index"))
@@ -52,8 +66,8 @@ def upsert(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def write_index(index: Index, path: str) -> None:
-    """An index's tables below ``path``; postings lie by language, sorted by term."""
-    index.postings.repartition("lang", "term").sortWithinPartitions("lang", "term").write.mode("overwrite").partitionBy("lang").parquet(f"{path}/postings")
+    """An index's tables below ``path``; postings lie by language and term, so that a join reads the row groups it needs. ``terms`` comes last and completes it."""
+    index.postings.repartition("lang", "term").sortWithinPartitions("lang", "term").write.mode("overwrite").parquet(f"{path}/postings")
     for name in ("lengths", "stats", "terms"):
         getattr(index, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
@@ -66,7 +80,7 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def load_index(spark: SparkSession, path: str, build: Callable[[], Index] | None = None) -> Index:
     """The index below ``path``; built and written first if it is not there and ``build`` is given."""
-    if build is not None and not exists(spark, f"{path}/terms"):
+    if build is not None and not exists(spark, f"{path}/terms/_SUCCESS"):
         write_index(build(), path)
     return Index(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "stats", "terms")])
 

@@ -53,6 +53,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def drop_at_exit(spark: SparkSession, path: str) -> None:
+    """Have a folder deleted with the intermediate tables."""
+    if (spark, path) not in _written:
+        _written.append((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     _written.remove((spark, path))
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
