@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, DataType, DoubleType, IntegerType, StructField, StructType
 
 from ..functions.text import tokenize
@@ -97,7 +98,7 @@ def _best(scores: np.ndarray, k: int) -> np.ndarray:
 def _nearest(kind: DataType, queries: list, rows: DataFrame, k: int) -> DataFrame:
     """(qid, chunk_id, *extra, score): of each task's rows the best ``k`` of every query, by one matrix product for each batch."""
     out = StructType([StructField("qid", kind), *[f for f in rows.schema if f.name != "vector"], StructField("score", DoubleType())])
-    qids, q = [r[0] for r in queries], np.array([r[1] for r in queries], float)
+    qids, q, qid_type = [r[0] for r in queries], np.array([r[1] for r in queries], float), to_arrow_type(kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, kept = [(np.zeros(0, np.int64), np.zeros(0))] * len(qids), None
@@ -122,7 +123,7 @@ def _nearest(kind: DataType, queries: list, rows: DataFrame, k: int) -> DataFram
         if kept is not None:
             at = np.concatenate([h[0] for h in held])
             found = kept.take(pa.array(at)).combine_chunks()
-            qid = pa.array([i for i, h in zip(qids, held, strict=True) for _ in h[0]])
+            qid = pa.array([i for i, h in zip(qids, held, strict=True) for _ in h[0]], qid_type)
             columns = {"qid": qid, **{n: found[n] for n in found.column_names}, "score": pa.array(np.concatenate([h[1] for h in held]))}
             yield from pa.table([columns[f.name] for f in out], out.fieldNames()).to_batches()
 

@@ -11,6 +11,8 @@ from .fusion import rrf
 from .ranking import first_per_document
 
 KS = (1, 3, 5, 10)
+#: Stages of a request, in order.
+STAGES = ("encode_ms", "dense_ms", "sparse_ms", "fuse_ms", "hydrate_ms", "guard_ms", "extractive_ms", "generation_ms")
 
 
 def relevant_documents(passages: DataFrame, query: str = "query_id", document: str = "document_id") -> DataFrame:
@@ -147,3 +149,24 @@ def cross_lingual(hits: DataFrame, queries: DataFrame, documents: DataFrame, k:
     found = hits.where(F.col("rank") <= k).join(own, "document_id").select("qid", F.col("lang").alias("target"), F.col("g").alias("group"), F.lit(1).alias("hit")).distinct()
     rows = asked.join(found, ["qid", "target", "group"], "left").groupBy("source", "target", "qid").agg(F.max(F.coalesce("hit", F.lit(0))).alias("hit"))
     return rows.groupBy("source", "target").agg(F.count("*").alias("n_queries"), F.round(F.avg("hit"), 4).alias("recall"))
+
+
+def by_request(stages: DataFrame) -> DataFrame:
+    """A row for each request (request, lang) with its stages' times; a stage that is missing took none. ``stages`` has request, lang, stage, ms."""
+    return stages.groupBy("request", "lang").agg(*[F.coalesce(F.sum(F.when(F.col("stage") == s, F.col("ms"))), F.lit(0.0)).alias(s) for s in STAGES])
+
+
+def _retrieval() -> Column:
+    return F.col("encode_ms") + F.col("dense_ms") + F.col("sparse_ms") + F.col("fuse_ms") + F.col("hydrate_ms")
+
+
+def coarse_timings(stages: DataFrame) -> DataFrame:
+    """By request: embed_ms, search_ms (both lists, fusion and texts) and total_ms."""
+    return by_request(stages).select("request", "lang", F.col("encode_ms").alias("embed_ms"), (_retrieval() - F.col("encode_ms")).alias("search_ms"), _retrieval().alias("total_ms"))
+
+
+def latency_tiers(stages: DataFrame, warmup: int = 0, request: str = "request") -> DataFrame:
+    """Times of three tiers by language and pooled (null): A retrieval, B the first answer, C the generated one. The first ``warmup`` requests do not count."""
+    tiers = {"A": _retrieval(), "B": _retrieval() + F.col("guard_ms") + F.col("extractive_ms"), "C": _retrieval() + F.col("generation_ms")}
+    each = by_request(stages).where(F.col(request) >= warmup).select("lang", F.explode(F.array(*[F.struct(F.lit(t).alias("tier"), ms.alias("ms")) for t, ms in tiers.items()])).alias("x")).select("lang", "x.tier", "x.ms")
+    return latency_rollup(each, "tier", "lang")

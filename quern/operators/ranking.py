@@ -59,9 +59,11 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, n: int, seed: int =
     return df.withColumn("_nth", nth).join(share, F.col(stratum) == F.col("_stratum")).where(F.col("_nth") <= F.col("_quota")).drop("_nth", "_stratum", "_quota")
 
 
-def evenly_spaced(df: DataFrame, index: str, total: int, n: int) -> DataFrame:
-    """About ``n`` rows at equal steps of a contiguous index."""
-    return df.where(F.col(index) % max(1, total // max(1, n)) == 0)
+def evenly_spaced(df: DataFrame, index: str, n: int) -> DataFrame:
+    """``n`` rows at equal steps of an index that runs from 0, the first and the last among them; all if there are no more."""
+    total = df.count()
+    steps = sorted({i * (total - 1) // max(1, n - 1) for i in range(min(n, total))})
+    return df.where(F.col(index).isin(steps)) if n < total else df
 
 
 def is_contiguous(df: DataFrame, index: str) -> DataFrame:

@@ -69,10 +69,12 @@ def route_languages(text: Column | str, languages: list[tuple[str, str]], pinned
     return F.when(F.array_contains(all_codes, code), F.array(code)).otherwise(own)
 
 
-def search(index: Index, queries: DataFrame, k: int, variant: str = "lucene", per_language: bool = False) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, variant: str = "lucene", per_language: bool = False, only: DataFrame | None = None, overfetch: int = 0) -> DataFrame:
     """Hits (qid, rank, chunk_id, lang, score) of queries (qid, text, and ``langs`` to restrict them); repeated query words count each time.
 
     ``per_language`` ranks within each language; else all of a query's hits are one list.
+    ``only`` (chunk_id) are the candidates; with ``overfetch`` it filters the best
+    ``overfetch * k`` afterwards, which may leave fewer than ``k``.
     """
     words = (tokenize_legacy if variant == "okapi" else tokenize)("text")
     restrict = "langs" in queries.columns
@@ -82,4 +84,7 @@ def search(index: Index, queries: DataFrame, k: int, variant: str = "lucene", pe
     if restrict:
         found = found.where(F.array_contains("langs", F.col("lang")))
     scores = found.groupBy("qid", "lang", "chunk_id").agg(F.round(F.sum(F.col("times") * F.col("weight")), 6).alias("score")).where("score > 0")
-    return top_k(scores, k, ["qid", "lang"] if per_language else ["qid"], by_score("score", "chunk_id"))
+    by, order = ["qid", "lang"] if per_language else ["qid"], by_score("score", "chunk_id")
+    if only is not None and overfetch:
+        scores = top_k(scores, overfetch * k, by, order).drop("rank")
+    return top_k(scores if only is None else scores.join(only.select("chunk_id").distinct(), "chunk_id", "left_semi"), k, by, order)

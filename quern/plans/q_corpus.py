@@ -101,9 +101,13 @@ def corpus_stats(spark, sf_dir):
     return corpus.corpus_stats(views.passages(spark, sf_dir))
 
 
-@query(f"SELECT lang, CASE WHEN max(len(regexp_extract_all(text, '{LATIN_SQL}'))) > 0 THEN 'LATIN' ELSE 'UNKNOWN' END AS script FROM documents GROUP BY lang")
+@query(f"""WITH t AS (SELECT id, CASE WHEN id < 0 THEN 'own' || (id % 3) ELSE lang END AS lang, text FROM (SELECT doc_id AS id, lang, text FROM documents UNION ALL SELECT -id, NULL, text FROM {values(SCRIPTS, 'id, text')})),
+  n AS (SELECT lang, s.script AS script, sum(s.n) AS n, min(id) FILTER (s.n > 0) AS first FROM (SELECT lang, id, unnest([{{'script': 'LATIN', 'n': len(regexp_extract_all(text, '{LATIN_SQL}'))}}, {{'script': 'DEVANAGARI', 'n': len(regexp_extract_all(text, '{DEVA_SQL}'))}},
+    {{'script': 'CYRILLIC', 'n': len(regexp_extract_all(text, '{CYRILLIC_SQL}'))}}]) AS s FROM t) GROUP BY ALL)
+  SELECT lang, CASE WHEN n = 0 THEN 'UNKNOWN' ELSE script END AS script FROM n QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, first, script) = 1""")
 def corpus_scripts(spark, sf_dir):
-    return corpus.script_by_language(views.chunks(spark, sf_dir), "document_id")
+    own = spark.createDataFrame([(-i, f"own{-(i % 3)}", t) for i, t in SCRIPTS], "document_id long, lang string, text string")
+    return corpus.script_by_language(views.chunks(spark, sf_dir).select("document_id", "lang", "text").unionByName(own), "document_id")
 
 
 @query("""SELECT 'lang' AS "column", lang AS value, count(*) AS n FROM documents GROUP BY lang UNION ALL
@@ -254,19 +258,65 @@ _CHECKS = ["document_id_present", "text_present", "text_trimmed", "label_binary"
   SELECT 'text_present', count(*) FILTER (trim(text) = '') FROM p UNION ALL SELECT 'text_trimmed', count(*) FILTER (text <> trim(text)) FROM p UNION ALL
   SELECT 'label_binary', count(*) FILTER (is_selected NOT IN (0, 1)) FROM p UNION ALL SELECT 'language_served', count(*) FILTER (lang NOT IN ('de', 'en', 'es', 'fr')) FROM p UNION ALL
   SELECT 'index_not_negative', count(*) FILTER (passage_index < 0) FROM p UNION ALL SELECT 'document_unique', count(*) - count(DISTINCT (document_id, lang)) FROM p UNION ALL
-  SELECT 'not_empty', CAST(count(*) = 0 AS INT) FROM p UNION ALL SELECT 'places_contiguous', count(*) FILTER (m >= c) FROM (SELECT max(passage_index) AS m, count(*) AS c FROM p GROUP BY query_id))
+  SELECT 'not_empty', CAST(count(*) = 0 AS INT) FROM p UNION ALL SELECT 'both_labels', 2 - count(DISTINCT is_selected) FROM p UNION ALL SELECT 'query_types', abs(3 - count(DISTINCT source)) FROM p UNION ALL
+  SELECT 'answerable_correct', count(*) FILTER (answerable <> known) FROM (SELECT document_id % 11 <> 0 AND is_selected = 1 AS answerable, max(is_selected) OVER (PARTITION BY query_id) = 1 AS known FROM p) UNION ALL SELECT 'fields', 2 UNION ALL SELECT 'places_contiguous', count(*) FILTER (m >= c) FROM (SELECT max(passage_index) AS m, count(*) AS c FROM p GROUP BY query_id))
   SELECT "check", n = 0 AS passed, CAST(n AS BIGINT) AS violations FROM v""")
 def validate_corpus(spark, sf_dir):
-    return validate.validate_passages(views.passages(spark, sf_dir), [c for c, _ in views.LANGUAGES])
+    rows = views.passages(spark, sf_dir).withColumn("answerable", (F.col("document_id") % 11 != 0) & (F.col("is_selected") == 1)).withColumnRenamed("source", "query_type")
+    return validate.validate_passages(rows, [c for c, _ in views.LANGUAGES], types=3, fields=[c for c in rows.columns if c != "answerable"] + ["answer"])
+
+
+def damaged_chunks(spark, sf_dir) -> DataFrame:
+    """Fixed chunks of which some are wrong in each way that is checked."""
+    d, i = F.col("document_id"), F.col("chunk_index")
+    return fixed_chunks(spark, sf_dir).withColumns({
+        "text": F.when((d % 13 == 0) & (i == 0), F.concat(F.lit("~"), "text")).when(d % 41 == 0, " ").otherwise(F.col("text")), "lang": F.when(d % 17 == 0, "xx").otherwise(F.col("lang")),
+        "chunk_index": F.when((d % 19 == 0) & (i == 1), 7001).otherwise(i), "chunk_id": F.when(d % 23 == 0, "same").otherwise(F.col("chunk_id")),
+        "document_id": F.when(d % 29 == 0, -d - 1).otherwise(d), "chunk_strategy": F.when(d % 31 == 0, "other").otherwise(F.col("chunk_strategy")), "n_tokens": F.when(d % 37 == 0, 99).otherwise(F.col("n_tokens")),
+        "query_id": F.when(d % 43 == 0, -1).otherwise(F.col("query_id")), "is_selected": F.when(d % 47 == 0, 7).otherwise(F.col("is_selected")),
+    })
+
+
+_DAMAGED = f"""good AS (SELECT doc_id, i - 1 AS ix, doc_id || '_c' || (i - 1) AS chunk_id, c[i] AS text, lang FROM (SELECT doc_id, lang, c, unnest(range(1, len(c) + 1)) AS i FROM (SELECT doc_id, lang, {_fixed_sql('text', 64, 8)} AS c FROM documents))),
+par AS {PASSAGES},
+bad AS (SELECT CASE WHEN g.doc_id % 13 = 0 AND ix = 0 THEN '~' || g.text WHEN g.doc_id % 41 = 0 THEN ' ' ELSE g.text END AS text, CASE WHEN g.doc_id % 17 = 0 THEN 'xx' ELSE g.lang END AS lang, CASE WHEN g.doc_id % 19 = 0 AND ix = 1 THEN 7001 ELSE ix END AS ix,
+  CASE WHEN g.doc_id % 23 = 0 THEN 'same' ELSE chunk_id END AS chunk_id, CASE WHEN g.doc_id % 29 = 0 THEN -g.doc_id - 1 ELSE g.doc_id END AS id, g.doc_id % 31 = 0 AS other, CASE WHEN g.doc_id % 37 = 0 THEN 99 ELSE len(regexp_extract_all(g.text, '\\S+')) END AS n,
+  CASE WHEN g.doc_id % 43 = 0 THEN -1 ELSE p.query_id END AS query_id, CASE WHEN g.doc_id % 47 = 0 THEN 7 ELSE p.is_selected END AS is_selected FROM good g JOIN par p ON p.document_id = g.doc_id),
+joined AS (SELECT bad.*, p.document_id AS pid, p.text AS ptext, p.lang AS plang, p.query_id AS pquery, p.is_selected AS pselected FROM bad LEFT JOIN par p ON p.document_id = bad.id),
+c AS (SELECT 'parent_known' AS "check", count(*) FILTER (pid IS NULL) AS n FROM joined UNION ALL SELECT 'same_language', count(*) FILTER (coalesce(lang <> plang, true)) FROM joined
+  UNION ALL SELECT 'exact_substring', count(*) FILTER (coalesce(NOT contains(ptext, text), true)) FROM joined UNION ALL SELECT 'text_present', count(*) FILTER (trim(text) = '') FROM joined
+  UNION ALL SELECT 'strategy_named', count(*) FILTER (other) FROM joined UNION ALL SELECT 'within_size', count(*) FILTER (n > 64) FROM joined UNION ALL SELECT 'chunk_unique', count(*) - count(DISTINCT chunk_id) FROM bad
+  UNION ALL SELECT 'chunk_id_present', 0 UNION ALL SELECT 'same_query', count(*) FILTER (coalesce(query_id <> pquery, true)) FROM joined UNION ALL SELECT 'same_label', count(*) FILTER (coalesce(is_selected <> pselected, true)) FROM joined
+  UNION ALL SELECT 'index_contiguous', count(*) FILTER (a <> 0 OR z <> m - 1) FROM (SELECT id, min(ix) AS a, max(ix) AS z, count(*) AS m FROM bad GROUP BY id)
+  UNION ALL SELECT 'parents_kept', count(*) FROM par WHERE trim(text) <> '' AND document_id NOT IN (SELECT id FROM bad)
+  UNION ALL SELECT 'neighbours_overlap', count(*) FROM (SELECT id, ix, text, lead(text) OVER (PARTITION BY id ORDER BY ix, chunk_id) AS next FROM bad) WHERE next IS NOT NULL AND NOT list_contains(list_transform(range(1, least(length(text), length(next)) + 1), lambda k: right(text, k) = left(next, k)), true)
+  UNION ALL SELECT 'same_when_repeated', (SELECT count(*) FROM (SELECT chunk_id, text FROM bad EXCEPT ALL SELECT chunk_id, text FROM good)) + (SELECT count(*) FROM (SELECT chunk_id, text FROM good EXCEPT ALL SELECT chunk_id, text FROM bad)))"""
+
+
+@query(f"WITH {_DAMAGED} SELECT \"check\", n = 0 AS passed, CAST(n AS BIGINT) AS violations FROM c")
+def validate_chunks(spark, sf_dir):
+    return validate.validate_chunks(damaged_chunks(spark, sf_dir), views.passages(spark, sf_dir), "fixed", 64, fixed_chunks(spark, sf_dir))
 
 
-_CHUNK_CHECKS = ["parent_known", "same_language", "exact_substring", "text_present", "strategy_named", "within_size", "chunk_unique", "index_contiguous", "parents_kept", "same_when_repeated"]
+@query(f"SELECT doc_id, list_transform(c, lambda x: CAST(len(regexp_extract_all(x, '\\S+')) AS INT)) AS tokens FROM (SELECT doc_id, {_fixed_sql('text', 64, 8)} AS c FROM documents)")
+def chunk_tokens(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", "text", chunking.fixed("text", 64, 8).alias("c"))
+    return rows.select("doc_id", text.chunk_tokens("text", "c").alias("tokens"))
 
 
-@query(f"SELECT c AS \"check\", true AS passed, CAST(0 AS BIGINT) AS violations FROM (SELECT unnest([{', '.join(map(quoted, _CHUNK_CHECKS))}]) AS c)")
-def validate_chunks(spark, sf_dir):
-    made = fixed_chunks(spark, sf_dir)
-    return validate.validate_chunks(made, views.passages(spark, sf_dir), "fixed", 64, fixed_chunks(spark, sf_dir))
+@query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n, CAST(length(regexp_extract(text, '^\s*')) AS INT) AS first, CAST(length(regexp_replace(text, '\s+$', '')) AS INT) AS last FROM documents WHERE regexp_matches(text, '\S')")
+def token_offsets(spark, sf_dir):
+    rows = views.table(spark, sf_dir, "documents").select("doc_id", text.token_offsets("text").alias("t")).where(F.size("t") > 0)
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.col("t")[0]["start"].alias("first"), F.element_at("t", -1)["end"].alias("last"))
+
+
+@query("SELECT count(*) AS rows, true AS groups_cover_rows FROM documents")
+def parquet_footer(spark, sf_dir):
+    from ..sources import tables
+
+    groups = tables.footers(spark, f"{sf_dir}/documents.parquet")
+    n = views.table(spark, sf_dir, "documents").count()
+    return groups.agg(F.sum("rows").alias("rows"), ((F.sum("rows") == n) & (F.min("bytes") > 0)).alias("groups_cover_rows"))
 
 
 @query("SELECT count(*) AS n, CAST(min(vec_id) = 0 AND max(vec_id) = count(*) - 1 AND count(DISTINCT vec_id) = count(*) AS BOOLEAN) AS contiguous FROM embeddings")

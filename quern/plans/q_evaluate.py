@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import evaluate, ranking, sparse
 from . import served, views
+from .q_corpus import _fixed_sql, _packed_sql
 from .q_retrieval import bm25_cte, ranked_lists, rrf_cte, vectors_cte
 from .registry import query
-from .views import PASSAGES
+from .views import PASSAGES, QUESTIONS
 
 QRELS = "(SELECT b.item_id AS qid, d.doc_id AS document_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
@@ -79,6 +80,19 @@ def weight_sweep(spark, sf_dir):
     return evaluate.weight_sweep(near, words, qrels(spark, sf_dir), labelled(spark, sf_dir), WEIGHTS)
 
 
+CONFIGURED = {"dense_only": (1.0, 0.0), "d1.0_b0.25": (1.0, 0.25), "d1.0_b0.5": (1.0, 0.5), "d1.0_b1.0": (1.0, 1.0), "d2.0_b1.0": (2.0, 1.0)}
+_CONFIGURED = f"""WITH {vectors_cte()}, {', '.join(rrf_cte(dw=a, sw=b, name=f'c{i}_') for i, (a, b) in enumerate(CONFIGURED.values()))},
+lists AS ({' UNION ALL '.join(f"SELECT '{label}' AS label, qid, chunk_id AS document_id, rank FROM c{i}_" for i, label in enumerate(CONFIGURED))}) {_recall_sql('lists', by='label')}"""
+
+
+@query(_CONFIGURED)
+def weight_configurations(spark, sf_dir):
+    near, words = ranked_lists(spark, sf_dir)
+    swept = evaluate.weight_sweep(near, words, qrels(spark, sf_dir), labelled(spark, sf_dir), list(CONFIGURED.values()))
+    names = spark.createDataFrame([(label, a, b) for label, (a, b) in CONFIGURED.items()], "label string, dense_weight double, sparse_weight double")
+    return swept.join(names, ["dense_weight", "sparse_weight"]).drop("dense_weight", "sparse_weight")
+
+
 @query(f"SELECT * FROM ({_SWEEP}) ORDER BY recall_10 DESC, recall_5 DESC, recall_1 DESC, dense_weight, sparse_weight LIMIT 1")
 def best_weight(spark, sf_dir):
     return evaluate.best_setting(weight_sweep(spark, sf_dir), ["dense_weight", "sparse_weight"])
@@ -108,10 +122,9 @@ def stratified_sample(spark, sf_dir):
     return ranking.stratified_sample(views.table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "lang", 100)
 
 
-@query("SELECT vec_id FROM embeddings WHERE vec_id % 25 = 0")
+@query("SELECT vec_id FROM embeddings WHERE vec_id IN (SELECT i * ((SELECT count(*) FROM embeddings) - 1) // 19 FROM range(20) AS r(i))")
 def evenly_spaced(spark, sf_dir):
-    vectors = views.table(spark, sf_dir, "embeddings").select("vec_id")
-    return ranking.evenly_spaced(vectors, "vec_id", 500, 20)
+    return ranking.evenly_spaced(views.table(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 20)
 
 
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,15 +167,59 @@ def json_property(spark, sf_dir):
     return views.table(spark, sf_dir, "events").groupBy(F.get_json_object("props", "$.k").cast("long").alias("k")).agg(F.count("*").alias("n"))
 
 
-@query()
+STRATEGIES = ("fixed", "semantic", "adaptive")
+
+
+def _strategies_sql() -> str:
+    """Chunks of all strategies, their vectors, and recall of the first 30 by cosine."""
+    bucket = "CAST('0x' || substr(md5(term), 1, 2) AS INT) % 64"
+    fixed = _fixed_sql("text", 256, 32)
+    side = lambda name, src, key: f"{name}0 AS (SELECT {key}, {bucket} AS b, count(*) AS c FROM (SELECT {key}, unnest({views.tokens_sql('text')}) AS term FROM {src}) GROUP BY ALL), {name} AS (SELECT {key}, b, c / sqrt(sum(c * c) OVER (PARTITION BY {key})) AS x FROM {name}0)"
+    return f"""WITH RECURSIVE {_packed_sql(384)},
+lists0 AS (SELECT 'fixed' AS strategy, doc_id, {fixed} AS c FROM documents UNION ALL SELECT 'semantic', z.doc_id, CASE WHEN t <= 384 THEN [text] ELSE c END FROM sized z JOIN packed p ON p.doc_id = z.doc_id
+  UNION ALL SELECT 'adaptive', z.doc_id, CASE WHEN t <= 128 THEN [text] WHEN t <= 512 THEN CASE WHEN t <= 384 THEN [text] ELSE c END ELSE {fixed} END FROM sized z JOIN packed p ON p.doc_id = z.doc_id),
+made AS (SELECT strategy, doc_id, strategy || ':' || doc_id || '_c' || (i - 1) AS chunk_id, c[i] AS text FROM (SELECT *, unnest(range(1, len(c) + 1)) AS i FROM lists0)),
+{side('mv', 'made', 'strategy, doc_id, chunk_id')}, {side('qv', QUESTIONS, 'qid')},
+hits AS (SELECT strategy, qid, doc_id AS document_id, row_number() OVER (PARTITION BY strategy, qid ORDER BY round(sum(qv.x * mv.x), 6) DESC, chunk_id) AS rank FROM qv JOIN mv USING (b) GROUP BY strategy, qid, doc_id, chunk_id QUALIFY rank <= 30)
+{_recall_sql('hits', by='strategy')}"""
+
+
+@query(_strategies_sql())
 def chunk_strategies(spark, sf_dir):
-    """Recall of lexical retrieval over chunks of each strategy."""
-    from ..operators import chunking
+    """Recall of dense retrieval over chunks of each strategy."""
+    from ..operators import chunking, dense
 
     docs, found = views.passages(spark, sf_dir).select("document_id", "text", "lang"), None
-    for name in ("fixed", "semantic", "adaptive"):
-        made = chunking.chunk_corpus(docs, name, id_col="document_id")
-        hits = sparse.search(sparse.build_index(one_index(made)), views.questions(spark, sf_dir), 30).join(made.select("chunk_id", "document_id"), "chunk_id")
-        own = hits.select("qid", "rank", "document_id", F.lit(name).alias("strategy"))
+    asked = dense.encode(views.questions(spark, sf_dir), vector="qvec", kind="query", max_tokens=0)
+    for name in STRATEGIES:
+        made = chunking.chunk_corpus(docs, name, id_col="document_id").withColumn("chunk_id", F.concat(F.lit(f"{name}:"), "chunk_id"))
+        own = dense.knn(asked, dense.encode(made, max_tokens=0), 30, ("document_id",)).select("qid", "rank", "document_id", F.lit(name).alias("strategy"))
         found = own if found is None else found.unionByName(own)
     return evaluate.document_recall(found, qrels(spark, sf_dir), labelled(spark, sf_dir), by=["strategy"])
+
+
+# ---- stages of requests ------------------------------------------------------
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as stages of requests, eight to each."""
+    rows = views.table(spark, sf_dir, "events")
+    request = F.floor(F.col("event_id") / len(evaluate.STAGES)).cast("long")
+    return rows.select(request.alias("request"), F.concat(F.lit("g"), request % 3).alias("lang"), F.element_at(F.array(*map(F.lit, evaluate.STAGES)), (F.col("event_id") % len(evaluate.STAGES) + 1).cast("int")).alias("stage"), F.col("value").alias("ms"))
+
+
+_STAGED = f"(SELECT event_id // 8 AS request, 'g' || (event_id // 8 % 3) AS lang, ['{"', '".join(evaluate.STAGES)}'][event_id % 8 + 1] AS stage, value AS ms FROM events)"
+_REQUESTS = f"(SELECT request, lang, {', '.join(f"coalesce(sum(ms) FILTER (stage = '{s}'), 0) AS {s}" for s in evaluate.STAGES)} FROM {_STAGED} GROUP BY ALL)"
+
+
+@query(f"SELECT request, round(encode_ms, 4) AS embed_ms, round(dense_ms + sparse_ms + fuse_ms + hydrate_ms, 4) AS search_ms, round(encode_ms + dense_ms + sparse_ms + fuse_ms + hydrate_ms, 4) AS total_ms FROM {_REQUESTS}")
+def stage_timings(spark, sf_dir):
+    return evaluate.coarse_timings(staged(spark, sf_dir)).select("request", *[F.round(c, 4).alias(c) for c in ("embed_ms", "search_ms", "total_ms")])
+
+
+@query(f"""WITH t AS (SELECT request, lang, unnest([{{'tier': 'A', 'ms': encode_ms + dense_ms + sparse_ms + fuse_ms + hydrate_ms}}, {{'tier': 'B', 'ms': encode_ms + dense_ms + sparse_ms + fuse_ms + hydrate_ms + guard_ms + extractive_ms}},
+  {{'tier': 'C', 'ms': encode_ms + dense_ms + sparse_ms + fuse_ms + hydrate_ms + generation_ms}}]) AS x FROM {_REQUESTS})
+SELECT x.tier AS tier, lang, count(*) AS n, round(quantile_cont(x.ms, 0.5), 4) AS p50, round(quantile_cont(x.ms, 0.7), 4) AS p70, round(max(x.ms), 4) AS p100, round(avg(x.ms), 4) AS mean
+FROM t WHERE request >= 3 GROUP BY GROUPING SETS ((x.tier, lang), (x.tier))""")
+def latency_tiers(spark, sf_dir):
+    return evaluate.latency_tiers(staged(spark, sf_dir), warmup=3)

@@ -85,6 +85,23 @@ def bm25_restricted(spark, sf_dir):
     return sparse.search(served.lexical(spark, sf_dir), asked, 20).select("qid", "rank", "chunk_id", "lang", "score")
 
 
+_CHOSEN = "(SELECT doc_id FROM labels WHERE quality = 1)"
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return views.passages(spark, sf_dir).where("is_selected = 1").select(F.col("document_id").alias("chunk_id"))
+
+
+@query(f"WITH {bm25_cte()} {_TOP.format(by='qid', t=f'(SELECT * FROM scores WHERE chunk_id IN {_CHOSEN})', k=10)}")
+def bm25_only_selected(spark, sf_dir):
+    return sparse.search(served.lexical(spark, sf_dir), views.questions(spark, sf_dir), 10, only=chosen(spark, sf_dir)).select("qid", "rank", "chunk_id", "lang", "score")
+
+
+@query(f"WITH {bm25_cte()} {_TOP.format(by='qid', t=f'(SELECT * FROM (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) <= 40) WHERE chunk_id IN {_CHOSEN})', k=10)}")
+def bm25_overfetch(spark, sf_dir):
+    return sparse.search(served.lexical(spark, sf_dir), views.questions(spark, sf_dir), 10, only=chosen(spark, sf_dir), overfetch=4).select("qid", "rank", "chunk_id", "lang", "score")
+
+
 # ---- vectors -----------------------------------------------------------------
 
 _PAIRS = f"(SELECT q.vec_id AS qid, q.label AS qlabel, v.vec_id AS chunk_id, v.label, round({DOT.format(a='q.embedding', b='v.embedding')}, 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)"
@@ -111,10 +128,11 @@ def knn_lsh(spark, sf_dir):
     return dense.knn_lsh(views.vector_queries(spark, sf_dir), views.vectors(spark, sf_dir), 10)
 
 
-@query()
+@query("SELECT 10 * count(*) AS n_exact, true AS recall_90 FROM embeddings WHERE vec_id % 50 = 0")
 def ann_recall(spark, sf_dir):
     near = dense.knn_lsh(views.vector_queries(spark, sf_dir), views.vectors(spark, sf_dir), 10)
-    return dense.ann_recall(near, dense.knn(views.vector_queries(spark, sf_dir), views.vectors(spark, sf_dir), 10))
+    found = dense.ann_recall(near, dense.knn(views.vector_queries(spark, sf_dir), views.vectors(spark, sf_dir), 10))
+    return found.select("n_exact", (F.col("recall") >= 0.9).alias("recall_90"))
 
 
 @query(f"""SELECT count(*) AS n, CAST(min(len(embedding)) AS INT) AS dim_min, CAST(max(len(embedding)) AS INT) AS dim_max, max(abs({NORM.format(v='embedding')} - 1)) <= 0.01 AS unit_norm,

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Sequence
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,6 +51,41 @@ def table_metadata(spark: SparkSession, path: str) -> DataFrame:
     return files.groupBy(F.col("file_path").alias("file")).agg(F.count("*").alias("rows"), F.max("file_size").alias("size"))
 
 
+def footers(spark: SparkSession, path: str, most_files: int = 10_000) -> DataFrame:
+    """(file, row_group, rows, bytes, fields) from the footers of a Parquet table's files; no column is read.
+
+    The driver opens each file's end by Spark's own file systems; fails beyond ``most_files``.
+    """
+    names = [r.file for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path).select(F.col("path").alias("file")).limit(most_files + 1).collect()]
+    if len(names) > most_files:
+        raise ValueError(f"more than {most_files} files; name a part of the table")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(names):
+        reader = jvm.org.apache.parquet.hadoop.ParquetFileReader.open(jvm.org.apache.parquet.hadoop.util.HadoopInputFile.fromPath(jvm.org.apache.hadoop.fs.Path(name), conf))
+        try:
+            fields = reader.getFooter().getFileMetaData().getSchema().toString()
+            out += [(name, i, b.getRowCount(), b.getTotalByteSize(), fields) for i, b in enumerate(reader.getFooter().getBlocks())]
+        finally:
+            reader.close()
+    return spark.createDataFrame(out, "file string, row_group int, rows long, bytes long, fields string")
+
+
+def assert_dimension(vectors: DataFrame, path: str, vector: str = "vector") -> None:
+    """Fails if the vectors of a new table and of the one at ``path`` differ in length; passes if there is none."""
+    spark = vectors.sparkSession
+    if exists(spark, f"{path}/_SUCCESS"):
+        held, new = (df.select(F.size(vector).alias("n")).limit(1).collect() for df in (spark.read.parquet(path), vectors))
+        if held and new and held[0].n != new[0].n:
+            raise ValueError(f"vectors of {new[0].n} dimensions for a table of {held[0].n}; drop it first")
+
+
+def drop_table(spark: SparkSession, path: str) -> None:
+    """Deletes a table's folder, to be written anew."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite", rows_per_file: int = 0) -> None:
     """A zstd Parquet table."""
     writer = df.write.mode(mode).option("compression", "zstd")
@@ -100,11 +134,18 @@ def read_log(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
 
 
 def write_report(report: DataFrame, path: str, most_rows: int = 10_000) -> None:
-    """A small result as one JSON document; fails beyond ``most_rows``."""
+    """A small result as one JSON document in any file system that Spark knows; fails beyond ``most_rows``."""
     rows = [r.asDict(recursive=True) for r in report.limit(most_rows + 1).collect()]
     if len(rows) > most_rows:
         raise ValueError(f"a report of more than {most_rows} rows; write it as a table")
-    Path(path).write_text(json.dumps(rows, ensure_ascii=False, indent=2, default=str), encoding="utf-8")
+    text = json.dumps(rows, ensure_ascii=False, indent=2, default=str)
+    jvm, spark = report.sparkSession.sparkContext._jvm, report.sparkSession
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
 
 
 def markdown(report: DataFrame, most_rows: int = 1000) -> str:

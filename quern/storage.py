@@ -53,6 +53,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return table
 
 
+def gathered(df: DataFrame, rows: int, per_task: int = 50_000) -> DataFrame:
+    """``df`` in no more tasks than ``rows`` rows need at ``per_task`` each; as it is where it has no more."""
+    return df.coalesce(max(1, -(-rows // per_task)))
+
+
 def drop_at_exit(spark: SparkSession, path: str) -> None:
     """Have a folder deleted with the intermediate tables."""
     if (spark, path) not in _written:

@@ -1,13 +1,15 @@
 import json
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from quern import schemas
 from quern.config import LANGUAGES, Config
-from quern.operators import chunking, corpus, dense, evaluate, sparse, validate
+from quern.functions import text
+from quern.operators import chunking, corpus, dense, evaluate, ranking, sparse, validate
 from quern.plans.q_answers import answered
-from quern.plans.q_retrieval import one_index
+from quern.plans.served import one_index
 from quern.sources import tables
 from quern.streaming.answers import read_questions, stream_answers
 
@@ -157,3 +159,66 @@ def test_scripts_are_those_of_all_texts(spark):
     assert got == {"hi": "DEVANAGARI", "ru": "CYRILLIC", "no": "UNKNOWN", "tie": "GREEK", None: "GREEK"}
     heads = {r.lang: r.script for r in corpus.script_by_language(docs, "document_id", 50).collect()}
     assert heads["hi"] == heads["ru"] == "LATIN"
+
+
+def test_offsets_and_tokens_by_the_parent(spark):
+    rows = [(1, "  ab cd  ef ", ["ab cd", "ef", "", "gone now"]), (2, None, ["x y"]), (3, "", []), (4, "aa aa aa", ["aa", "aa aa"])]
+    df = spark.createDataFrame(rows, "id int, text string, pieces array<string>")
+    got = {r.id: r for r in df.select("id", text.token_offsets("text").alias("at"), text.chunk_tokens("text", "pieces").alias("n")).collect()}
+    assert [(a.start, a.end) for a in got[1].at] == [(2, 4), (5, 7), (9, 11)] and got[2].at == got[3].at == []
+    assert got[1].n == [2, 1, 0, 2] and got[2].n == [2] and got[3].n == [] and got[4].n == [1, 2]
+
+
+def test_words_as_one_pattern_finds_them(spark):
+    rows = [("İ ΑΣ' 'ok' a -- \"quoted,\" (x) it's a,b …end… 1. ab .cd. \U0001f600\U0001f600 ,a",), (None,), ("",), (" . ",)]
+    got = [r.w for r in spark.createDataFrame(rows, "t string").select(text.tokenize("t").alias("w")).collect()]
+    assert got == [["i̇", "ας", "ok", "quoted", "it's", "a,b", "end", "ab", "cd", "\U0001f600\U0001f600"], [], [], []]
+    one = spark.createDataFrame([("a .b cd.",)], "t string")
+    assert one.select(text.tokenize("t", shortest=1).alias("w")).head().w == ["a", "b", "cd"] and one.select(text.tokenize("t", shortest=3).alias("w")).head().w == []
+
+
+def test_footers_dimensions_and_reports(spark, tmp_path):
+    path = f"file://{tmp_path}/v"
+    df = spark.range(10).select("id", F.array(F.lit(1.0), F.lit(2.0)).alias("vector"))
+    tables.assert_dimension(df, path)
+    df.repartition(2).write.parquet(path)
+    found = tables.footers(spark, path).collect()
+    assert sum(r.rows for r in found) == 10 and len(found) == 2 and "vector" in found[0].fields and all(r.bytes > 0 for r in found)
+    tables.assert_dimension(df, path)
+    with pytest.raises(ValueError):
+        tables.assert_dimension(df.withColumn("vector", F.array(F.lit(1.0))), path)
+    tables.drop_table(spark, path)
+    assert not tables.exists(spark, path)
+    tables.write_report(df.select("id"), f"file://{tmp_path}/deep/r.json")
+    assert "9" in (tmp_path / "deep" / "r.json").read_text()
+
+
+def test_evenly_spaced_follows_the_rows(spark):
+    for n, k in ((500, 20), (2000, 20), (7, 3), (3, 20), (5, 1)):
+        got = sorted(r.id for r in ranking.evenly_spaced(spark.range(n), "id", k).collect())
+        assert got == ([i * (n - 1) // max(1, k - 1) for i in range(k)] if k < n else list(range(n)))
+
+
+def test_exact_search_in_blocks_of_queries(spark):
+    rows = [(i, [float(i % 7), float(i % 3), 1.0], i % 2) for i in range(60)] + [(99, None, 1), (98, [1.0], 1)]
+    vectors = spark.createDataFrame(rows, "chunk_id int, vector array<double>, label int").repartition(3)
+    queries = spark.createDataFrame([(i, [float(i), 1.0, -1.0]) for i in range(9)], "qid int, qvec array<double>")
+    want = {}
+    for q in range(9):
+        scored = [(-round(q * v[0] + v[1] - v[2], 6), i, label) for i, v, label in rows if v and len(v) == 3]
+        want[q] = [(i, -s) for s, i, _ in sorted(scored)[:5]]
+        want[q, "odd"] = [(i, -s) for s, i, label in sorted(scored)[:20] if label == 1][:5]
+    for block in (4096, 4):
+        for name, options in (((), {}), (("odd",), {"extra": ("label",), "where": F.col("label") == 1, "overfetch": 4})):
+            got = defaultdict(list)
+            for r in dense.knn(queries, vectors, 5, block=block, **options).orderBy("qid", "rank").collect():
+                got[(r.qid, *name) if name else r.qid].append((r.chunk_id, r.score))
+            assert all(got[k] == v for k, v in want.items() if isinstance(k, tuple) == bool(name))
+    assert dense.knn(queries.limit(0), vectors, 5).count() == 0
+
+
+def test_documents_that_hold_a_text(spark):
+    docs = spark.createDataFrame([(1, "x  one two three four five six seven eight nine y"), (2, "one two three four five six seven eight"), (3, "tiny item here"), (4, None), (5, "")], "doc_id int, text string")
+    items = spark.createDataFrame([(10, "one two three four five six seven eight"), (11, "tiny item"), (12, "one two three four five six seven  eight"), (13, "")], "qid int, text string")
+    got = sorted(tuple(r) for r in evaluate.holding(docs, items).collect())
+    assert got == [(10, 1), (10, 2), (11, 3)]
