@@ -56,6 +56,11 @@ def test_packing_holds_every_id_once(odd):
     assert padding < 2048 * odd.rdd.getNumPartitions()
 
 
+def test_packing_of_nothing(none, nulls):
+    assert packing.pack(none, tokenizer).count() == 0
+    assert sorted(r.doc_tokens for r in packing.pack(nulls, tokenizer).collect()) == [1, 4]
+
+
 def test_packing_prefers_the_cheapest_sequence_that_fits():
     p = packing.pack_lengths(np.array([900, 800, 700, 600, 500, 400, 100, 2048 * 2 + 20]), 2048)
     assert sorted(p[p[:, 0] == 7][:, 1:3].tolist()) == [[0, 2048], [2048, 2048], [4096, 20]]
@@ -134,7 +139,39 @@ def test_langid_ranks_as_written_out():
         assert langid.ranked(langid.letters(cleaned)).tolist() == plain(cleaned)
 
 
-def test_langid_takes_anything(odd, nulls):
+def test_langid_predicts_as_written_out(spark, sf):
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()] + [(900, "", "en"), (901, None, "fr"), (902, "12 !", "de")]
+
+    def grams(text):
+        low, n = "".join(c if c.isalpha() else " " for c in text.lower()), Counter()
+        padded = f" {' '.join(low.split())} "
+        for k in (1, 2, 3):
+            for i in range(len(padded) - k + 1):
+                g = padded[i : i + k]
+                if not (g == " " or k == 3 and g[1] == " "):
+                    n[g] += 1
+        return n if low.strip() else Counter()
+
+    code = lambda g: sum(ord(c) << 21 * (len(g) - 1 - j) for j, c in enumerate(g))
+    first = lambda n: [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], code(x[0])))][: langid.PROFILE]
+    totals = defaultdict(Counter)
+    for _, t, lang in rows:
+        totals[lang] += grams(t or "")
+    profiles = {lang: {g: i for i, g in enumerate(first(n))} for lang, n in totals.items() if n}
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    got = table(langid.predict(df, langid.learn(df)), "doc_id")
+    for d, t, _ in rows:
+        own = first(grams(t or ""))
+        if not own:
+            assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+            continue
+        far = {lang: sum(abs(p[g] - i) if g in p else langid.PROFILE for i, g in enumerate(own)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        assert got[d].lang_pred == best and got[d].score == pytest.approx(1 - far[best] / (langid.PROFILE * len(own)))
+
+
+def test_langid_takes_anything(odd, none, nulls):
+    assert langid.predict(none, langid.learn(odd)).count() == 0
     profiles = langid.learn(odd)
     got = table(langid.predict(odd, profiles), "doc_id")
     assert set(got) == set(TEXTS)
@@ -583,6 +620,14 @@ def test_quality_orders_rules_by_rejection_per_cost(spark):
     assert [r.name for r, _, _ in quality.ordered(["a b c"] * 9, [never, always])] == ["always", "never"]
 
 
+def test_quality_order_does_not_depend_on_the_run(spark, odd, none, nulls, related):
+    plans = [[r.name for r in quality.plan_rules(related.repartition(n))] for n in (1, 3, 7)]
+    assert plans[0] == plans[1] == plans[2] and quality.keep(none).count() == 0 and quality.keep(nulls).count() == 0
+    assert len(quality.plan_rules(odd, sample_rows=3)) == len(quality.RULES)
+    few = [r.failed_rule for r in quality.judge(odd.repartition(5)).orderBy("doc_id").collect()]
+    assert few == [r.failed_rule for r in quality.judge(odd.repartition(2)).orderBy("doc_id").collect()]
+
+
 def test_quality_keeps_clean_prose(spark):
     rng = random.Random(0)
     df = spark.createDataFrame([(i, ". ".join(prose(rng, 9).capitalize() for _ in range(12)) + ".") for i in range(20)], "doc_id long, text string")

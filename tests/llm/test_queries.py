@@ -53,3 +53,15 @@ def test_pipeline(spark, sf):
     got = corpus_pipeline.run(spark, sf)
     assert got.agg(F.sum("length")).head()[0] == want and got.select("doc_id").distinct().count() == len(left)
     assert np.frombuffer(got.head().ids, "<u4").size == got.head().length
+
+
+@pytest.mark.parametrize("name", ["odd", "none", "nulls"])
+def test_pipeline_takes_anything(spark, sf, name, request):
+    stage = request.getfixturevalue(name)
+    columns = stage.columns
+    for k, (_, f) in enumerate(corpus_pipeline.STAGES):
+        stage = f(spark, stage, sf)
+        if k < 4:
+            assert stage.columns == columns
+    got = stage.collect()
+    assert (len(got) == 0) == (name != "odd")
