@@ -1,4 +1,12 @@
-"""A corpus pipeline: each stage takes the documents that the one before it kept."""
+"""A corpus pipeline: each stage takes the documents that the one before it kept.
+
+Edge cases: null and empty texts fail the quality rules; repeated rows are one
+document after near-dedup, unlike texts of one id are documents of their own; a
+null id, source or language is kept as it is, and a null source is a source of
+its own; long texts are read whole; ties go to the smaller id, or by a hash where
+ids are alike; further columns, also with clashing names, are carried to the last
+stage, which gives sequences; an empty table gives an empty table.
+"""
 
 from __future__ import annotations
 
@@ -22,9 +30,12 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages of 20 words or more that stand earlier; ``n_chars`` follows the text."""
-    left = substring.dedup(docs, keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")))
-    left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return left.select(*docs.columns)
+    at = {n: docs.columns.index(n) for n in ("doc_id", "text", "n_chars")}
+    rows = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    left = substring.dedup(rows, f"_{at['doc_id']}", f"_{at['text']}", keep=tuple(c for i, c in enumerate(rows.columns) if i not in (at["doc_id"], at["text"])))
+    n, text = f"_{at['n_chars']}", f"_{at['text']}"
+    left = left.withColumn(n, F.when(F.col("n_removed") > 0, F.length(text).cast("long")).otherwise(F.col(n)))
+    return left.select(*rows.columns).toDF(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
