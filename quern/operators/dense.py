@@ -161,8 +161,11 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, extra: tuple[str, ...] =
     return out.select("qid", "rank", "chunk_id", "score", *extra)
 
 
-def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = 1.35, bucket_length: float = 0.6, tables: int = 12, seed: int = 7) -> DataFrame:
-    """Approximate nearest rows of unit vectors by random projections: (qid, rank, chunk_id, score)."""
+def knn_lsh(queries: DataFrame, vectors: DataFrame, k: int, threshold: float = 1.25, bucket_length: float = 0.6, tables: int = 12, seed: int = 7) -> DataFrame:
+    """Approximate nearest rows of unit vectors by random projections: (qid, rank, chunk_id, score).
+
+    Pairs that share a bucket in one of ``tables`` and are nearer than ``threshold`` are ranked.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
