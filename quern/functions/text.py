@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -116,23 +115,6 @@ def token_offsets(texts: pa.Array) -> pa.Array:
     return pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
 
 
-@F.arrow_udf(ArrayType(IntegerType()))
-def chunk_tokens(texts: pa.Array, pieces: pa.Array) -> pa.Array:
-    """Tokens of each piece of a text, counted by the text's own offsets; a piece that is not found there is counted anew."""
-    out = []
-    for text, own in zip(texts.to_pylist(), pieces.to_pylist(), strict=True):
-        spans = [m.span() for m in re.finditer(TOKEN, text or "")]
-        starts, ends, cursor, counts = [a for a, _ in spans], [b for _, b in spans], 0, []
-        for piece in own or []:
-            at = (text or "").find(piece, cursor)
-            at = (text or "").find(piece) if at < 0 else at
-            inside = bisect_right(ends, at + len(piece)) - bisect_left(starts, at) if piece and at >= 0 else 0
-            counts.append(inside if inside > 0 else len(re.findall(TOKEN, piece or "")))
-            cursor = at + 1 if piece and at >= 0 else cursor
-        out.append(counts)
-    return pa.array(out, pa.list_(pa.int32()))
-
-
 def contains(parent: Column | str, chunk: Column | str) -> Column:
     return F.contains(_col(parent), _col(chunk))
 

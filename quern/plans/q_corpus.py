@@ -301,7 +301,7 @@ def validate_chunks(spark, sf_dir):
 @query(f"SELECT doc_id, list_transform(c, lambda x: CAST(len(regexp_extract_all(x, '\\S+')) AS INT)) AS tokens FROM (SELECT doc_id, {_fixed_sql('text', 64, 8)} AS c FROM documents)")
 def chunk_tokens(spark, sf_dir):
     rows = views.table(spark, sf_dir, "documents").select("doc_id", "text", chunking.fixed("text", 64, 8).alias("c"))
-    return rows.select("doc_id", text.chunk_tokens("text", "c").alias("tokens"))
+    return chunking.with_chunk_tokens(rows, "text", "c").select("doc_id", "tokens")
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+')) AS n, CAST(length(regexp_extract(text, '^\s*')) AS INT) AS first, CAST(length(regexp_replace(text, '\s+$', '')) AS INT) AS last FROM documents WHERE regexp_matches(text, '\S')")

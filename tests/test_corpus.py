@@ -164,7 +164,7 @@ def test_scripts_are_those_of_all_texts(spark):
 def test_offsets_and_tokens_by_the_parent(spark):
     rows = [(1, "  ab cd  ef ", ["ab cd", "ef", "", "gone now"]), (2, None, ["x y"]), (3, "", []), (4, "aa aa aa", ["aa", "aa aa"])]
     df = spark.createDataFrame(rows, "id int, text string, pieces array<string>")
-    got = {r.id: r for r in df.select("id", text.token_offsets("text").alias("at"), text.chunk_tokens("text", "pieces").alias("n")).collect()}
+    got = {r.id: r for r in chunking.with_chunk_tokens(df, tokens="n").select("id", text.token_offsets("text").alias("at"), "n").collect()}
     assert [(a.start, a.end) for a in got[1].at] == [(2, 4), (5, 7), (9, 11)] and got[2].at == got[3].at == []
     assert got[1].n == [2, 1, 0, 2] and got[2].n == [2] and got[3].n == [] and got[4].n == [1, 2]
 
