@@ -53,10 +53,10 @@ from pyspark.sql import types as T
 
 from .common import Chunk, chunks, lookup, pick, prefix
 
-WORDS, HIDDEN, SIDE = 3072, 24, 2
+WORDS, HIDDEN, SIDE = 3072, 16, 2
 #: Tokens of a class.
 WIDE = 64
-ROUNDS, RATE, BATCH = 3, 0.2, 4096
+ROUNDS, RATE, BATCH = 3, 0.2, 8192
 #: Tokens of a shard, about, and pieces that weights are added up in.
 SHARD_TOKENS, PIECES = 700_000, 64
 #: Weights are added up in units of 2**-20, tokens of a shard in thousands.
@@ -252,12 +252,13 @@ class Network:
         return own - np.log(np.exp(z, out=z).sum(1))
 
     @staticmethod
-    def _step(weight: np.ndarray, seen: np.ndarray, grad: np.ndarray) -> None:
-        seen += grad * grad
-        weight -= RATE * grad / np.sqrt(seen)
+    def _step(weight: np.ndarray, seen: np.ndarray, grad: np.ndarray, at: np.ndarray | slice) -> None:
+        squares = seen[at] + grad * grad
+        seen[at] = squares
+        weight[at] -= RATE * grad / np.sqrt(squares)
 
-    def gradients(self, around: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(weights, their squares seen, gradient of minus the mean log probability) of all parts that a batch touches."""
+    def gradients(self, around: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | slice]]:
+        """(weights, their squares seen, gradient of minus the mean log probability, its rows) of all parts that a batch touches."""
         n, h = len(token), self.hidden(around)
         scale = np.float32(1 / n)
         z = _softmax(h @ self.top + self.top_bias)
@@ -270,21 +271,24 @@ class Network:
             q[np.arange(len(at)), (token[at] - 1) % WIDE] -= 1
             q *= scale
             back[at] += q @ self.out[k].T
-            yield self.out[k], self.out_seen[k], own.T @ q
-            yield self.out_bias[k], self.out_bias_seen[k], q.sum(0)
-        yield self.top, self.top_seen, h.T @ z
-        yield self.top_bias, self.top_bias_seen, z.sum(0)
+            yield self.out[k], self.out_seen[k], own.T @ q, slice(None)
+            yield self.out_bias[k], self.out_bias_seen[k], q.sum(0), slice(None)
+        yield self.top, self.top_seen, h.T @ z, slice(None)
+        yield self.top_bias, self.top_bias_seen, z.sum(0), slice(None)
         back *= 1 - h * h
-        near, wide = self.near.reshape(-1), self.near.shape[1]
-        at = (((around + wide * np.arange(2 * SIDE)) * HIDDEN).T[:, :, None] + np.arange(HIDDEN)).ravel()
-        grad = np.bincount(at, np.broadcast_to(back, (2 * SIDE, *back.shape)).ravel(), len(near)).astype(np.float32)
-        yield near, self.near_seen.reshape(-1), grad
+        wide = self.near.shape[1]
+        rows = (around + wide * np.arange(2 * SIDE)).T.ravel().astype(np.uint16 if 2 * SIDE * wide <= 1 << 16 else np.int64)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        grad = np.add.reduceat(back[order % n], first, axis=0)
+        yield self.near.reshape(-1, HIDDEN), self.near_seen.reshape(-1, HIDDEN), grad, rows[first].astype(np.int64)
 
     def train(self, around: np.ndarray, token: np.ndarray) -> None:
         """One pass in the given order."""
         for a in range(0, len(token), BATCH):
-            for weight, seen, grad in self.gradients(around[a : a + BATCH], token[a : a + BATCH]):
-                self._step(weight, seen, grad)
+            for part in self.gradients(around[a : a + BATCH], token[a : a + BATCH]):
+                self._step(*part)
 
 
 def _around(chunk: Chunk, ids: np.ndarray) -> np.ndarray:
