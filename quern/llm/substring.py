@@ -173,24 +173,28 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     segments = _segments(docs, length)
     first = segments.groupBy("seg").agg(F.min(_place("fp", "n")).alias("first"), F.count("*").alias("copies"))
-    again = first.where("copies > 1").select(F.col("seg").alias("seg1"), F.col("first.doc").alias("doc1"), F.col("first.start").alias("start1"))
+    # what is aggregated by a hash is a table of its own, so that the join with it is of plain exchanges, which are split where a hash is hot
+    first = materialize(first.select("seg", "first.doc", "first.fp", "first.start", "copies"), "first")
+    again = first.where("copies > 1").select(F.col("seg").alias("seg1"), F.col("doc").alias("doc1"), F.col("start").alias("start1"))
     dropped = segments.join(again, F.col("seg") == F.col("seg1")).where(~(F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("start") == F.col("start1"))))
     dropped = materialize(dropped.select("doc", "fp", "start", "n"), "segments")
 
     anchors = _anchors(docs, length)
     doubtful = anchors.groupBy("anchor").agg(F.min("seg").alias("a"), F.max("seg").alias("b"), F.max("twice").alias("twice")).where("a != b OR twice = 1")
-    asked = anchors.join(doubtful.select("anchor"), "anchor").groupBy("seg").agg(F.collect_set("anchor").alias("anchors"))
-    asked = asked.join(first, "seg").select("first.doc", "first.fp", "first.start", "anchors")
+    doubtful = materialize(doubtful.select("anchor"), "doubtful")
+    asked = anchors.join(doubtful, "anchor").groupBy("seg").agg(F.collect_set("anchor").alias("anchors"))
+    asked = asked.join(first, "seg").select("doc", "fp", "start", "anchors")
     look = materialize(asked.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "anchors")).alias("look")), "anchors")
 
     found = docs.join(look.hint("shuffle_hash"), _same_doc(docs, look)).select(docs["doc"], docs["fp"], docs["text"], look["look"])
     windows = materialize(_windows(found, length), "windows")
+    discard(first, doubtful)
     again = windows.groupBy("h").agg(F.min(_place()).alias("first"), F.count("*").alias("copies")).where("copies > 1")
-    again = again.select(F.col("h").alias("h1"), F.col("first.doc").alias("doc1"), F.col("first.start").alias("start1"))
-    later = windows.join(again, F.col("h") == F.col("h1")).where(~(F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("start") == F.col("start1"))))
+    recurring = materialize(again.select(F.col("h").alias("h1"), F.col("first.doc").alias("doc1"), F.col("first.start").alias("start1")), "recurring")
+    later = windows.join(recurring, F.col("h") == F.col("h1")).where(~(F.col("doc").eqNullSafe(F.col("doc1")) & (F.col("start") == F.col("start1"))))
     gone = dropped.unionByName(later.select("doc", "fp", "start", F.lit(1).cast("long").alias("n")))
     gone = materialize(gone.groupBy("doc", "fp").agg(F.collect_list(F.struct("start", "n")).alias("gone")), "gone")
-    discard(dropped, look, windows)
+    discard(dropped, look, windows, recurring)
     return gone
 
 
