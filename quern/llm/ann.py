@@ -9,11 +9,15 @@ there are ranked by exact Euclidean distance in double precision.
 
 How many parts a query visits is set on the sample: the fewest with which the
 share of true neighbours found there reaches ``TARGET``. The number of parts
-grows with the table, to ``PARTS`` at most, so that a visit stays selective.
+grows with the table, so that a visit stays selective: up to ``PARTS`` with its
+rows, beyond with their square root, up to ``MOST_PARTS`` at 67 million; the
+sample grows along, from 4,096 to 16,384 vectors.
 
 A part's vectors are dealt to blocks and its queries to groups of bounded size;
 each pair of a block and a group is one task's work, whatever a part's size, and
-leaves the nearest few of each query for the merge.
+leaves the nearest few of each query for the merge. A vector travels once for
+each ``GROUP_ROWS`` queries of its part (once at all where there are fewer), a
+query once for each ``BLOCK_ROWS`` vectors, in the element type of the table.
 
 Edge cases: vectors that are null, zero, of another length than most, or hold
 null or non-finite components take no part, neither as queries nor as
@@ -37,11 +41,11 @@ from pyspark.sql import types as T
 from ..storage import materialize
 from .common import pick
 
-#: Sample rows at most, table rows for each part at least, parts at most.
-SAMPLE_ROWS, PART_ROWS, PARTS = 4096, 256, 32
+#: Sample rows, or so many for each part; table rows for each part at least; parts of a table of moderate size, and of any.
+SAMPLE_ROWS, SAMPLE_PART, PART_ROWS, PARTS, MOST_PARTS = 4096, 64, 256, 32, 256
 NEIGHBOURS, HIDDEN, EPOCHS, TARGET = 10, 96, 60, 0.985
 #: Vectors of a block and queries of a group that one task compares, about.
-BLOCK_ROWS, GROUP_ROWS = 8192, 512
+BLOCK_ROWS, GROUP_ROWS = 8192, 16_384
 
 
 def sample_graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -190,7 +194,8 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: s
     v = F.col(vector_col)
     good = v.isNotNull() & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
     rows = pick(df, id_col, vector_col).where(good & F.col(id_col).isNotNull())
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("vector"), queries.alias("asks"))
+    kind = "float" if df.schema[vector_col].dataType.elementType.typeName() == "float" else "double"
+    rows = rows.select(F.col(id_col).cast("long").alias("id"), v.cast(f"array<{kind}>").alias("vector"), queries.alias("asks"))
     spark, lengths = df.sparkSession, rows.groupBy(F.size("vector").alias("length")).count().collect()
     result = "query_id long, rank int, vec_id long, score double"
     if not lengths:
@@ -201,11 +206,14 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: s
     parts = 1
     while parts < PARTS and n >= 2 * parts * PART_ROWS:
         parts *= 2
+    while PARTS <= parts < MOST_PARTS and n >= 4096 * parts * parts:
+        parts *= 2
+    sample = max(SAMPLE_ROWS, SAMPLE_PART * parts)
     mark = F.xxhash64("id")
-    some = rows.where(F.pmod(mark, F.lit(1 << 20)) < F.lit(min(1 << 20, -(-2 * SAMPLE_ROWS * (1 << 20) // n)))).orderBy(mark, "id").limit(SAMPLE_ROWS)
+    some = rows.where(F.pmod(mark, F.lit(1 << 20)) < F.lit(min(1 << 20, -(-2 * sample * (1 << 20) // n)))).orderBy(mark, "id").limit(sample)
     router, visits = None, 1
     if parts > 1:
-        x = np.array([r[0] for r in some.select("vector").collect()])  # at most SAMPLE_ROWS
+        x = np.array([r[0] for r in some.select("vector").collect()], float)  # at most ``sample``
         router, visits = fit(x, parts)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +235,7 @@ def search(df: DataFrame, queries: Column, id_col: str = "vec_id", vector_col: s
             take = pa.array(at)
             yield pa.RecordBatch.from_arrays([b.column(0).take(take), b.column(1).take(take), pa.array(part.astype(np.int32))], ["id", "vector", "part"])
 
-    asked = placed.where("asks").select("id", "vector").mapInArrow(route, "id long, vector array<double>, part int")
+    asked = placed.where("asks").select("id", "vector").mapInArrow(route, f"id long, vector array<{kind}>, part int")
     asked = materialize(asked, "asked")
     askers = dict(asked.groupBy("part").count().collect())
     blocks = {i: max(1, -(-int(counts[i]) // BLOCK_ROWS)) for i in range(parts)}
