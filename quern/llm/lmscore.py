@@ -53,7 +53,7 @@ from pyspark.sql import types as T
 
 from .common import Chunk, chunks, lookup, pick, prefix
 
-WORDS, HIDDEN, SIDE = 3072, 16, 2
+WORDS, HIDDEN, SIDE = 3072, 12, 2
 #: Tokens of a class.
 WIDE = 64
 ROUNDS, RATE, BATCH = 3, 0.2, 8192
