@@ -1,28 +1,28 @@
-"""Near duplicates: a chosen-path set-similarity join over word shingles.
+"""Near duplicates: a minwise set-similarity join over word shingles, with an exact one for its large nodes.
 
 A document's set is its distinct word shingles; two documents are linked when
 their Jaccard similarity reaches ``share`` percent. Equal sets are collapsed
 first. Each of ``TREES`` trees deals all sets by two of their
-``COORDINATES`` minwise values. A node of more than ``SMALL`` members branches
-again: it draws from its own path one coordinate, or two for one path in four,
-and sends each member to the child that holds its value there. That is 1 / 0.8
-branches on average, so a pair at the threshold stays together in one child as
-expected while members that are less alike grow fewer from level to level, and
-rows do not multiply with depth. Nodes of at most ``SMALL`` members are compared
-exhaustively; so are those of at most ``MEMBERS`` of which more than half are
-known to belong together, since branching would not part them: each of the others
-is compared with the whole node, as the method does with a point whose mean
-similarity to its node is high.
+``COORDINATES`` minwise values. Nodes of at most ``MEMBERS`` members are compared
+exhaustively; where more than half are known to belong together, each of the
+others is compared with the whole node.
+
+What stands in a larger node is joined exactly, by prefixes: shingles are put in
+one order, rare ones first, and of ``n`` shingles a document is dealt by its first
+``n - ceil(share * n / 100) + 1``. Similar sets have one of these in common, so
+each pair meets. The frequencies come from ``SAMPLE`` of the documents in question;
+any order gives all pairs, they only keep nodes small. A node that is large even so is
+cut into slices, and each slice of its members outside the most frequent label
+meets each slice of all: no pair is left out, whatever a node's size.
 
 A component needs no more links than span it, and labels come from links that
 full sets have confirmed, never from sketches:
 
 1. Members of each first node of more than ``TINY`` meet its smallest one. What
    is confirmed gives labels; large groups of near copies cost one pair a member.
-2. Only nodes that hold several labels go on. Small ones give the pairs, most
-   alike first, that would connect all their labels; members of large ones meet
-   one drawn at random for the node, and branch.
-3. What was refuted may have hidden other links, so with the new labels the small
+2. Only nodes that hold several labels go on. They give the pairs, most alike
+   first, that would connect all their labels.
+3. What was refuted may have hidden other links, so with the new labels the
    nodes give every pair across labels that was not confirmed or refuted yet.
 
 Candidates are pairs whose sketches allow the similarity: two bits of each
@@ -32,14 +32,10 @@ over with a chance of 3e-5 (``MARGIN`` standard deviations), one of 0.82 with
 less than 1e-8; sets of some hundred shingles below 0.76 hardly ever pass.
 
 Recall: at a similarity of exactly 0.8 a pair is missed by all first nodes with a
-chance of 1e-7 for ten distinct coordinates, 1e-6 as they are drawn. Where nodes
-must branch it also has to stay together: over one level each of ten paths does
-so with a chance of 0.84, and all fail with one of 1e-5. In groups of more than
-``MEMBERS`` documents that are nearly as alike, it takes some ten levels, which
-one of ten paths passes with a chance of 0.99; a document is lost only if that
-fails for each of its links, and each node on the way compares it with one more
-of the others. Nodes still large after ``DEPTH`` rounds of ``LEVELS`` levels are
-compared in slices. Tests measure recall against all pairs.
+chance of 1e-7 for ten distinct coordinates, 1e-6 as they are drawn; nothing is
+lost within a node but what sketches pass over. Where many documents are nearly
+as alike as links ask, but not linked, pairs grow with the square of their number.
+Tests measure recall against all pairs.
 
 Shingle hashes have 64 bits, the sets that are compared 40 of them; a pair of
 sets of a thousand shingles is off by one with a chance below 1e-6.
@@ -67,7 +63,9 @@ from ..storage import discard, gathered, materialize
 from .common import Chunk, chunks, mix, pick, prefix
 from .graph import components
 
-COORDINATES, TREES, TINY, SMALL, MEMBERS, LEVELS, DEPTH = 64, 5, 4, 64, 4096, 5, 3
+COORDINATES, TREES, TINY, SMALL, MEMBERS = 64, 5, 4, 64, 4096
+#: Documents whose shingles are counted for the order of prefixes, about, and shingles that it holds at most.
+SAMPLE, FREQUENT = 4096, 1 << 17
 #: Standard deviations by which a sketch may fall short of the similarity asked for.
 MARGIN = 4.0
 #: Pairs that are compared in one vectorised step, and ids that are sent to all tasks at most.
@@ -183,32 +181,61 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _children(rows: DataFrame, roots: bool) -> DataFrame:
-    """From rows with doc and sig and, unless they stand at the roots, a node ``key``: (key, doc) of their children, or of ``LEVELS`` further on."""
-    schema = T.StructType([T.StructField("key", T.LongType()), rows.schema["doc"]])
-
-    def below(parent: np.ndarray, at: np.ndarray, sig: np.ndarray, levels: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Nodes and places of members, ``levels`` below those in ``parent``."""
-        if not levels:
-            yield parent, at
-            return
-        first = mix(parent ^ np.uint64(0xA5A5))
-        step = np.uint64(1) + mix(parent ^ np.uint64(0x5A5A)) % np.uint64(COORDINATES - 1)
-        for branch in range(2):
-            go = np.arange(len(parent)) if roots or not branch else np.flatnonzero(first >> np.uint64(32) & np.uint64(3) == 0)
-            coordinate = ((first[go] + np.uint64(branch) * step[go]) % np.uint64(COORDINATES)).astype(np.int64)
-            value = sig[at[go], coordinate].astype(np.uint64)
-            yield from below(mix(mix(parent[go] + np.uint64(branch + 1)) ^ value), at[go], sig, levels - 1)
+def _nodes(sets: DataFrame) -> DataFrame:
+    """(key, doc): the nodes by minwise values, of rows with doc and sig."""
+    schema = T.StructType([T.StructField("key", T.LongType()), sets.schema["doc"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = _matrix(batch.column("sig"), np.uint32, COORDINATES)
-            starts = [np.full(len(sig), mix(np.array([t + 1]))[0]) for t in range(TREES)] if roots else [batch.column("key").to_numpy().view(np.uint64)]
-            for parent in starts:
-                for key, at in below(parent, np.arange(len(sig)), sig, 1 if roots else LEVELS):
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc").take(pa.array(at))], ["key", "doc"])
+            tree = mix(np.arange(1, TREES + 1))
+            first, step = mix(tree ^ np.uint64(0xA5A5)), np.uint64(1) + mix(tree ^ np.uint64(0x5A5A)) % np.uint64(COORDINATES - 1)
+            for branch in (np.uint64(0), np.uint64(1)):
+                coordinate = ((first + branch * step) % np.uint64(COORDINATES)).tolist()
+                for own, k in zip(mix(tree + branch + np.uint64(1)), coordinate, strict=True):
+                    key = mix(own ^ sig[:, k].astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc")], ["key", "doc"])
+
+    return sets.mapInArrow(run, schema)
+
+
+def _frequent(texts: DataFrame, n: int, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that occur more than once in a sample of ``n`` documents, ascending, and in how many they do."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, chunk in chunks(batch.column(0)):
+                values, count = np.unique(_sets(chunk, words)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(count)], ["shingle", "n"])
+
+    some = texts.where(F.pmod(F.xxhash64("doc"), F.lit(max(1, n // SAMPLE))) == 0)
+    rows = some.select("text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where("n > 1")
+    rows = rows.orderBy(F.desc("n"), "shingle").limit(FREQUENT).toArrow()
+    values, count = rows["shingle"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(values)
+    return values[order], count[order]
+
+
+def _prefixes(texts: DataFrame, frequent: tuple[np.ndarray, np.ndarray], words: int, share: int) -> DataFrame:
+    """(key, doc): nodes by the shingles of each document's prefix, of which similar sets have one in common."""
+    schema, (known, times) = T.StructType([T.StructField("key", T.LongType()), texts.schema["doc"]]), frequent
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, chunk in chunks(batch.column(1)):
+                values, off = _sets(chunk, words)
+                order = values >> np.uint64(16)
+                if len(known) and len(values):
+                    at = np.minimum(np.searchsorted(known, values), len(known) - 1)
+                    order |= np.where(known[at] == values, np.minimum(times[at], 0xFFFF), 0).astype(np.uint64) << np.uint64(48)
+                n = np.diff(off)
+                first = np.where(n > 0, n - (share * n + 99) // 100 + 1, 0)
+                own = [np.partition(order[a:b], k - 1)[:k] for a, b, k in zip(off[:-1].tolist(), off[1:].tolist(), first.tolist(), strict=True) if k]
+                key = mix(np.concatenate(own)) if own else order
+                doc = pa.array(np.repeat(np.arange(chunk.n), first) + part.start)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column(0).take(doc)], ["key", "doc"])
 
-    return rows.mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema)
 
 
 def _alike(pairs: DataFrame, share: int) -> DataFrame:
@@ -252,10 +279,11 @@ def _inner_pairs(off: np.ndarray, label: np.ndarray) -> Iterator[tuple[np.ndarra
             yield x[cross], y[cross]
     for k in np.flatnonzero(size > SMALL).tolist():
         own = label[off[k] : off[k + 1]]
-        others, step = np.flatnonzero(own != np.bincount(own).argmax()), max(1, PAIRS // len(own))
+        top = np.bincount(own).argmax()
+        others, step = np.flatnonzero(own != top), max(1, PAIRS // len(own))
         for a in range(0, len(others), step):
             x, y = (z.ravel() for z in np.broadcast_arrays(others[a : a + step, None], np.arange(len(own))))
-            cross = own[x] != own[y]
+            cross = (own[x] != own[y]) & ((x < y) | (own[y] == top))
             yield off[k] + x[cross], off[k] + y[cross]
 
 
@@ -302,21 +330,47 @@ def _labels(sets: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def _several(nodes: DataFrame, label: DataFrame) -> DataFrame:
+def _several(nodes: DataFrame, label: DataFrame, every: bool) -> DataFrame:
     """Members of the nodes that hold several labels: key, doc, label, sketch, and whether the node is ``small``, to be compared in full.
 
-    Nodes that one label prevails in are compared in full together, so that a pair is met once and not in each of them.
+    Nodes that one label prevails in are compared in full together, so that a pair
+    is met once and not in each of them. With ``every`` all are, the larger ones in slices.
     """
     n = nodes.count()
     by_label = nodes.select("key", "doc").join(label.select("doc", "label"), "doc").groupBy(F.col("key").alias("k"), "label").agg(F.count("*").alias("n"))
     size = by_label.groupBy("k").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")).where("top.n < size")
-    prevails = (F.col("size") > SMALL) & (F.col("size") <= MEMBERS) & (2 * F.col("top.n") > F.col("size"))
-    size = size.select("k", F.when(prevails, F.xxhash64(F.lit("label"), "top.label")).otherwise(F.col("k")).alias("node"), prevails.alias("joined"), (prevails | (F.col("size") <= SMALL)).alias("small"))
+    few = F.lit(True) if every else F.col("size") <= MEMBERS
+    prevails = (F.col("size") > SMALL) & few & (2 * F.col("top.n") > F.col("size"))
+    size = size.select("k", F.when(prevails, F.xxhash64(F.lit("label"), "top.label")).otherwise(F.col("k")).alias("node"), prevails.alias("joined"), few.alias("small"))
     size = materialize(gathered(size, n), "several")
     rows = nodes.select("key", "doc").join(size, F.col("key") == F.col("k")).select(F.col("node").alias("key"), "doc", "small", "joined")
     rows = rows.where("NOT joined").unionByName(rows.where("joined").distinct())
     out = materialize(rows.join(label, "doc").select("key", "doc", "label", "sketch", "small"), "rows")
     discard(size)
+    return _sliced(out) if every else out
+
+
+def _sliced(rows: DataFrame) -> DataFrame:
+    """``rows`` with each node of more than ``MEMBERS`` dealt to several, in which all its pairs across labels meet.
+
+    Each slice of the members outside the node's most frequent label meets each slice of all.
+    """
+    half = max(1, MEMBERS // 2)
+    size = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
+    cut = lambda n: F.ceil(n / half).cast("int")
+    large = size.where(F.col("size") > MEMBERS).select("k", F.col("top.label").alias("most"), cut(F.col("size")).alias("all"), cut(F.col("size") - F.col("top.n")).alias("others"))
+    large = materialize(gathered(large, rows.count()), "large")
+    if large.isEmpty():
+        discard(large)
+        return rows
+    held = rows.join(large, F.col("key") == F.col("k"))
+    up_to = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = held.withColumn("j", F.pmod(F.xxhash64("doc"), F.col("all")).cast("int")).withColumn("i", up_to("others"))
+    two = held.where("label != most").withColumn("i", F.pmod(F.xxhash64("doc"), F.col("others")).cast("int")).withColumn("j", up_to("all"))
+    dealt = one.unionByName(two).withColumn("key", F.xxhash64("key", "i", "j")).select(*rows.columns).dropDuplicates(["key", "doc"])
+    rest = rows.join(large.select(F.col("k").alias("key")), "key", "left_anti").select(*rows.columns)
+    out = materialize(rest.unionByName(dealt), "rows")
+    discard(rows, large)
     return out
 
 
@@ -329,37 +383,33 @@ def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("doc", "label", "sketch"))).alias("members"))
 
 
-def _across(nodes: DataFrame, sets: DataFrame, label: DataFrame, share: int) -> tuple[DataFrame, list[DataFrame]]:
-    """Pairs to confirm across labels, by branching until nodes are small; and the rows of small nodes at each depth."""
-    found, leaves = [], []
-    for depth in range(1, DEPTH + 1):
-        rows = _several(nodes, label)
-        if depth > 1:
-            discard(nodes)
-        leaves.append(rows)
-        small, every = rows.where("small").count(), rows.count()
-        found.append(materialize(_within(_members(rows.where("small"), small), share, True), "pairs"))
-        large = rows.where("NOT small")
-        if small == every:
-            break
-        drawn = large.groupBy(F.col("key").alias("k")).agg(F.min(F.struct(F.xxhash64("doc", "key").alias("draw"), "doc", "label", "sketch")).alias("hub"))
-        drawn = materialize(gathered(drawn, every - small).select("k", F.col("hub.doc").alias("a"), F.col("hub.label").alias("l"), F.col("hub.sketch").alias("sketch2")), "drawn")
-        met = large.join(drawn, F.col("key") == F.col("k")).where("label != l").select("a", F.col("doc").alias("b"), "sketch", "sketch2")
-        found.append(materialize(_alike(met, share), "pairs"))
-        discard(drawn)
-        if depth < DEPTH:
-            nodes = materialize(_children(large.select("key", "doc").join(sets.select("doc", "sig"), "doc"), False), "nodes")
-        else:  # slices of about half the size that is compared in full
-            size = large.groupBy(F.col("key").alias("k")).agg(F.count("*").alias("size"))
-            slices = F.xxhash64("key", F.pmod(F.xxhash64("doc"), F.ceil(2 * F.col("size") / SMALL)))
-            leaves.append(materialize(large.join(size, F.col("key") == F.col("k")).withColumn("key", slices).withColumn("small", F.lit(True)).drop("k", "size"), "rows"))
-            found.append(materialize(_within(_members(leaves[-1], every - small), share, True), "pairs"))
+def _across(nodes: DataFrame, docs: DataFrame, label: DataFrame, words: int, share: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Pairs to confirm across labels, and the rows of the nodes that give them; what stands in large nodes is dealt by prefixes."""
+    leaves = [_several(nodes, label, False)]
+    large = leaves[0].where("NOT small").select(F.col("doc").alias("id")).distinct()
+    ids = materialize(gathered(large, leaves[0].count()), "ids")
+    n = ids.count()
+    if n:
+        texts = _chosen(docs, ids, n)
+        dealt = materialize(_prefixes(texts, _frequent(texts, n, words), words, share), "nodes")
+        leaves.append(_several(dealt, label, True))
+        discard(dealt)
+    discard(ids)
+    found = []
+    for rows in leaves:
+        small = rows.where("small")
+        found.append(materialize(_within(_members(small, small.count()), share, True), "pairs"))
     every = reduce(DataFrame.unionByName, found)
     pairs = materialize(gathered(_ordered(every), every.count()), "across")
     discard(*found)
     return pairs, leaves
 
 
+def _chosen(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of ``docs`` whose doc is one of the ``n`` in ``ids``."""
+    return docs.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids.hint("shuffle_hash"), docs["doc"] == F.col("id"), "left_semi")
+
+
 def _full_sets(docs: DataFrame, words: int) -> DataFrame:
     """doc and its whole set, 40 sorted bits of each shingle."""
     schema = T.StructType([docs.schema[0], T.StructField("shingles", T.BinaryType())])
@@ -385,9 +435,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, words: int, share: int) -> Dat
     """The pairs whose full sets are similar enough; ``docs`` has doc and text."""
     n = pairs.count()
     ids = materialize(gathered(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), 2 * n), "ids")
-    few = ids.count() <= BROADCAST_IDS
-    text = docs.join(F.broadcast(ids) if few else ids.hint("shuffle_hash"), docs["doc"] == F.col("id"), "left_semi")
-    full = materialize(_full_sets(text, words), "shingles")
+    full = materialize(_full_sets(_chosen(docs, ids, ids.count()), words), "shingles")
     rows = pairs.join(full.select(F.col("doc").alias("b"), F.col("shingles").alias("sb")), "b").join(full.select(F.col("doc").alias("a"), F.col("shingles").alias("sa")), "a")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -424,22 +472,21 @@ def links(table: DataFrame, docs: DataFrame, words: int, share: int) -> DataFram
     sets = table.where("sig IS NOT NULL")
     once, more = sets.where("rep IS NULL"), sets.where("rep IS NOT NULL").dropDuplicates(["doc", "h1", "h2", "n"])
     sets = materialize(once.unionByName(more).select("doc", "sig", "sketch"), "sets")
-    nodes = materialize(_children(sets, True), "nodes")
+    nodes = materialize(_nodes(sets), "nodes")
     shared = materialize(nodes.groupBy(F.col("key").alias("k")).agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1"), "shared")
     met = materialize(nodes.join(shared, F.col("key") == F.col("k")).select("key", "doc", "hub", "size"), "met")
     discard(nodes, shared)
     tested = materialize(_stars(met, sets, share), "stars")
     found = [_confirmed(tested, docs, words, share)]
     label = _labels(sets, found[0])
-    pairs, leaves = _across(met, sets, label, share)
+    pairs, leaves = _across(met, docs, label, words, share)
     discard(met)
     fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "fresh")
     tested = materialize(tested.unionByName(fresh), "tested")
     found.append(_confirmed(fresh, docs, words, share))
-    if found[1].count() < fresh.count():
+    if found[1].count() < pairs.count():  # what the first step refuted counts too
         label = _labels(sets, found[0].unionByName(found[1]))
-        again = _several(reduce(DataFrame.unionByName, leaves).where("small"), label)
-        # labels have only grown, so what was compared in full is so again
+        again = _several(reduce(DataFrame.unionByName, leaves).where("small"), label, True)
         rest = materialize(_ordered(_within(_members(again, again.count()), share, False)).join(tested, ["a", "b"], "left_anti"), "rest")
         discard(again)
         if not rest.isEmpty():

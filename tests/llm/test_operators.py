@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quern.llm import ann, langid, licenses, lmscore, mixing, neardup, packing, quality, queries, sharding, substring
 from quern.llm.queries import tokenizer
+from quern.storage import materialize
 
 from . import brute
 from .conftest import SCHEMA, WORDS, awkward, prose
@@ -570,6 +571,23 @@ def test_neardup_recall_where_all_nodes_branch(spark, monkeypatch):
     assert sum(got[d] == want[d] for d in linked) >= 0.97 * len(linked)
 
 
+@pytest.mark.parametrize("most", [2, 4, 16])
+def test_neardup_loses_nothing_in_large_nodes(spark, monkeypatch, most):
+    monkeypatch.setattr(neardup, "SMALL", 2)
+    monkeypatch.setattr(neardup, "MEMBERS", most)  # both nodes and prefixes are beyond it
+    df, want = loose(spark)
+    assert {r.doc_id: r.component_id for r in neardup.classes(df, words=2).collect()} == want
+
+
+def test_neardup_slices_meet(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", 6)
+    rows = spark.createDataFrame([(7, d, d % 5 * (d > 20), b"", True) for d in range(40)], "key long, doc long, label long, sketch binary, small boolean")
+    nodes = neardup._sliced(materialize(rows, "rows")).groupBy("key").agg(F.collect_list(F.struct("doc", "label")).alias("m")).collect()
+    met = {(a.doc, b.doc) for n in nodes for a in n.m for b in n.m if a.label != b.label}
+    assert met == {(a, b) for a in range(40) for b in range(40) if a % 5 * (a > 20) != b % 5 * (b > 20)}
+    assert all(len({a.doc for a in n.m}) == len(n.m) for n in nodes) and max(len(n.m) for n in nodes) < 30
+
+
 def test_neardup_takes_anything(odd, none, nulls):
     got = neardup.classes(odd, words=2).collect()
     want = brute.components(sorted(TEXTS.items()), 2)
