@@ -2,13 +2,15 @@
 
 A document's set is its distinct word shingles; two documents are linked when
 their Jaccard similarity reaches ``share`` percent. Equal sets are collapsed
-first. Each of ``TREES`` trees deals all sets by two of their
-``COORDINATES`` minwise values. Nodes of at most ``MEMBERS`` members are compared
-exhaustively; where more than half are known to belong together, each of the
-others is compared with the whole node.
-
-What stands in a larger node is joined exactly, by prefixes: shingles are put in
-one order, rare ones first, and of ``n`` shingles a document is dealt by its first
+first. All sets are dealt by several minwise values at a time, of their
+``COORDINATES`` (at 0.8 by 20 disjoint threes): a single one is shared by whatever
+holds a frequent shingle, so its nodes grow with the corpus. Nodes of at most
+``MEMBERS`` members are compared exhaustively; where more than half are known to
+belong together, each of the others is compared with the whole node. So are larger
+nodes in which few have other labels than the most frequent, in slices.
+
+What stands in any other large node is joined exactly, by prefixes: shingles are put
+in one order, rare ones first, and of ``n`` shingles a document is dealt by its first
 ``n - ceil(share * n / 100) + 1``. Similar sets have one of these in common, so
 each pair meets. The frequencies come from ``SAMPLE`` of the documents in question;
 any order gives all pairs, they only keep nodes small. A node that is large even so is
@@ -31,9 +33,9 @@ shingles two sets do not share, and the sizes. A pair of similarity 0.8 is passe
 over with a chance of 3e-5 (``MARGIN`` standard deviations), one of 0.82 with
 less than 1e-8; sets of some hundred shingles below 0.76 hardly ever pass.
 
-Recall: at a similarity of exactly 0.8 a pair is missed by all first nodes with a
-chance of 1e-7 for ten distinct coordinates, 1e-6 as they are drawn; nothing is
-lost within a node but what sketches pass over. Where many documents are nearly
+Recall: at a similarity of exactly ``share`` a pair is missed by all first nodes with
+a chance of at most ``MISSED``, 6e-7 at 0.8 (below 0.2 with more, for want of
+coordinates); nothing is lost within a node but what sketches pass over. Where many documents are nearly
 as alike as links ask, but not linked, pairs grow with the square of their number.
 Tests measure recall against all pairs.
 
@@ -63,7 +65,11 @@ from ..storage import discard, gathered, materialize
 from .common import Chunk, chunks, mix, pick, prefix
 from .graph import components
 
-COORDINATES, TREES, TINY, SMALL, MEMBERS = 64, 5, 4, 64, 4096
+COORDINATES, TINY, SMALL, MEMBERS = 64, 4, 64, 4096
+#: Chance at most that a pair just similar enough shares no node.
+MISSED = 1e-6
+#: Pairs across labels of a node larger than ``MEMBERS``, in squares of that, that are compared without prefixes.
+SQUARES = 4
 #: Documents whose shingles are counted for the order of prefixes, about, and shingles that it holds at most.
 SAMPLE, FREQUENT = 4096, 1 << 17
 #: Standard deviations by which a sketch may fall short of the similarity asked for.
@@ -181,20 +187,27 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _nodes(sets: DataFrame) -> DataFrame:
-    """(key, doc): the nodes by minwise values, of rows with doc and sig."""
+def _bands(share: int) -> tuple[int, int]:
+    """Minwise values of a node's key, as many as ``MISSED`` allows, and keys of a set, as few as it takes."""
+    for wide in range(COORDINATES, 1, -1):
+        apart = 1 - (share / 100) ** wide
+        if apart ** (COORDINATES // wide) <= MISSED:
+            return wide, next(n for n in range(1, COORDINATES + 1) if apart**n <= MISSED)
+    return 1, COORDINATES
+
+
+def _nodes(sets: DataFrame, share: int) -> DataFrame:
+    """(key, doc): the nodes by disjoint groups of minwise values, of rows with doc and sig."""
     schema = T.StructType([T.StructField("key", T.LongType()), sets.schema["doc"]])
+    wide, n = _bands(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig = _matrix(batch.column("sig"), np.uint32, COORDINATES)
-            tree = mix(np.arange(1, TREES + 1))
-            first, step = mix(tree ^ np.uint64(0xA5A5)), np.uint64(1) + mix(tree ^ np.uint64(0x5A5A)) % np.uint64(COORDINATES - 1)
-            for branch in (np.uint64(0), np.uint64(1)):
-                coordinate = ((first + branch * step) % np.uint64(COORDINATES)).tolist()
-                for own, k in zip(mix(tree + branch + np.uint64(1)), coordinate, strict=True):
-                    key = mix(own ^ sig[:, k].astype(np.uint64))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc")], ["key", "doc"])
+            for k, key in enumerate(mix(np.arange(1, n + 1))):
+                for c in range(k * wide, (k + 1) * wide):
+                    key = mix(key ^ sig[:, c].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), batch.column("doc")], ["key", "doc"])
 
     return sets.mapInArrow(run, schema)
 
@@ -334,12 +347,13 @@ def _several(nodes: DataFrame, label: DataFrame, every: bool) -> DataFrame:
     """Members of the nodes that hold several labels: key, doc, label, sketch, and whether the node is ``small``, to be compared in full.
 
     Nodes that one label prevails in are compared in full together, so that a pair
-    is met once and not in each of them. With ``every`` all are, the larger ones in slices.
+    is met once and not in each of them. Large ones are in slices. With ``every`` all are
+    ``small``, else all but large ones with more than ``SQUARES`` squares of pairs.
     """
     n = nodes.count()
     by_label = nodes.select("key", "doc").join(label.select("doc", "label"), "doc").groupBy(F.col("key").alias("k"), "label").agg(F.count("*").alias("n"))
     size = by_label.groupBy("k").agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top")).where("top.n < size")
-    few = F.lit(True) if every else F.col("size") <= MEMBERS
+    few = F.lit(True) if every else (F.col("size") <= MEMBERS) | (F.col("size") * (F.col("size") - F.col("top.n")) <= SQUARES * MEMBERS**2)
     prevails = (F.col("size") > SMALL) & few & (2 * F.col("top.n") > F.col("size"))
     size = size.select("k", F.when(prevails, F.xxhash64(F.lit("label"), "top.label")).otherwise(F.col("k")).alias("node"), prevails.alias("joined"), few.alias("small"))
     size = materialize(gathered(size, n), "several")
@@ -347,16 +361,16 @@ def _several(nodes: DataFrame, label: DataFrame, every: bool) -> DataFrame:
     rows = rows.where("NOT joined").unionByName(rows.where("joined").distinct())
     out = materialize(rows.join(label, "doc").select("key", "doc", "label", "sketch", "small"), "rows")
     discard(size)
-    return _sliced(out) if every else out
+    return _sliced(out)
 
 
 def _sliced(rows: DataFrame) -> DataFrame:
-    """``rows`` with each node of more than ``MEMBERS`` dealt to several, in which all its pairs across labels meet.
+    """``rows`` with each ``small`` node of more than ``MEMBERS`` dealt to several, in which all its pairs across labels meet.
 
     Each slice of the members outside the node's most frequent label meets each slice of all.
     """
     half = max(1, MEMBERS // 2)
-    size = rows.groupBy("key", "label").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
+    size = rows.where("small").groupBy("key", "label").agg(F.count("*").alias("n")).groupBy(F.col("key").alias("k")).agg(F.sum("n").alias("size"), F.max(F.struct("n", "label")).alias("top"))
     cut = lambda n: F.ceil(n / half).cast("int")
     large = size.where(F.col("size") > MEMBERS).select("k", F.col("top.label").alias("most"), cut(F.col("size")).alias("all"), cut(F.col("size") - F.col("top.n")).alias("others"))
     large = materialize(gathered(large, rows.count()), "large")
@@ -472,7 +486,7 @@ def links(table: DataFrame, docs: DataFrame, words: int, share: int) -> DataFram
     sets = table.where("sig IS NOT NULL")
     once, more = sets.where("rep IS NULL"), sets.where("rep IS NOT NULL").dropDuplicates(["doc", "h1", "h2", "n"])
     sets = materialize(once.unionByName(more).select("doc", "sig", "sketch"), "sets")
-    nodes = materialize(_nodes(sets), "nodes")
+    nodes = materialize(_nodes(sets, share), "nodes")
     shared = materialize(nodes.groupBy(F.col("key").alias("k")).agg(F.min("doc").alias("hub"), F.count("*").alias("size")).where("size > 1"), "shared")
     met = materialize(nodes.join(shared, F.col("key") == F.col("k")).select("key", "doc", "hub", "size"), "met")
     discard(nodes, shared)

@@ -579,6 +579,30 @@ def test_neardup_loses_nothing_in_large_nodes(spark, monkeypatch, most):
     assert {r.doc_id: r.component_id for r in neardup.classes(df, words=2).collect()} == want
 
 
+def test_neardup_nodes_do_not_grow_with_a_common_shingle(spark):
+    rng = random.Random(21)
+    docs = [(i, " ".join(["of the"] * 3 + [rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(6)])) for i in range(3000)]
+    sets = neardup._describe(spark.createDataFrame(docs, "doc long, text string"), 2)
+    nodes = neardup._nodes(sets, 80).groupBy("key").count().where("count > 1").collect()
+    assert max((r["count"] for r in nodes), default=0) < 500  # "of the" is in all, and so the least one of many coordinates
+
+
+@pytest.mark.parametrize("share", [20, 50, 80, 95, 100])
+def test_neardup_misses_few_pairs(share):
+    wide, n = neardup._bands(share)
+    assert wide * n <= neardup.COORDINATES and (1 - (share / 100) ** wide) ** n <= neardup.MISSED
+
+
+def test_neardup_large_settled_nodes_need_no_prefixes(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "MEMBERS", 20)
+    docs = [(7, d, b"", 0 if d < 200 else d) for d in range(204)]
+    rows = spark.createDataFrame(docs, "key long, doc long, sketch binary, label long")
+    got = neardup._several(materialize(rows.select("key", "doc"), "nodes"), materialize(rows.select("doc", "label", "sketch"), "labels"), False)
+    nodes = got.groupBy("key").agg(F.collect_set("doc").alias("m")).collect()
+    met = {(a, b) for n in nodes for a in n.m for b in n.m}
+    assert got.where("NOT small").isEmpty() and all((a, b) in met for a in range(200, 204) for b in range(204)) and max(len(n.m) for n in nodes) <= 40
+
+
 def test_neardup_slices_meet(spark, monkeypatch):
     monkeypatch.setattr(neardup, "MEMBERS", 6)
     rows = spark.createDataFrame([(7, d, d % 5 * (d > 20), b"", True) for d in range(40)], "key long, doc long, label long, sketch binary, small boolean")
