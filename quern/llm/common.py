@@ -160,13 +160,14 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off.astype(np.int64)
 
 
-def runs(raw: np.ndarray, off: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[slice, Chunk]]:
-    """Texts in runs of about ``most`` bytes; a longer one comes alone and whole."""
+def runs(raw: np.ndarray, off: np.ndarray, most: int = CHUNK_BYTES, table: np.ndarray | None = None) -> Iterator[tuple[slice, Chunk]]:
+    """Texts in runs of about ``most`` bytes; a longer one comes alone and whole. ``table`` replaces bytes."""
     a, n = 0, len(off) - 1
     while a < n:
         b = max(a + 1, int(np.searchsorted(off, off[a] + most, "right")) - 1)
         b = min(b, n)
-        yield slice(a, b), Chunk(raw[off[a] : off[b]], off[a : b + 1] - off[a])
+        data = raw[off[a] : off[b]]
+        yield slice(a, b), Chunk(data if table is None else table[data], off[a : b + 1] - off[a])
         a = b
 
 

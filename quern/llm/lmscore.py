@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Chunk, chunks, lookup, pick, prefix
+from .common import SPACES, Chunk, lookup, pick, prefix, runs, text_buffers
 
 WORDS, HIDDEN, SIDE = 3072, 12, 2
 #: Tokens of a class.
@@ -70,21 +70,22 @@ SHAPES, BUCKETS = 4 * 8, 1024
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_DIGIT = lookup("0123456789")
-_LETTER = lookup("abcdefghijklmnopqrstuvwxyz")
-_HIGH = np.arange(256) >= 128
+#: Bits of a byte: 1 a digit, 2 a mark, 4 beyond ASCII; none a letter or a space.
+_BITS = np.where(lookup("0123456789"), 1, np.where(np.arange(256) >= 128, 4, np.where(lookup("abcdefghijklmnopqrstuvwxyz"), 0, 2))).astype(np.uint8)
+_BITS[list(SPACES)] = 0
+#: Of the bits that a word's bytes have: 1 with a digit, else 2 with a mark, else 3 with one beyond ASCII.
+_KIND = np.array([0, 1, 2, 1, 3, 1, 2, 1])
 
 
 def _lowered(column: pa.Array) -> Iterator[tuple[slice, Chunk]]:
-    for part, chunk in chunks(column):
-        yield part, Chunk(_LOWER[chunk.data], chunk.off)
+    return runs(*text_buffers(column), table=_LOWER)
 
 
 def _keys(chunk: Chunk) -> np.ndarray:
     """Of each word: its hash, with its shape in the low bits; the lowest ten tell its bucket."""
-    within = lambda kind: (lambda s: s[chunk.ends] - s[chunk.starts])(prefix(kind[chunk.data]))
     length = chunk.ends - chunk.starts
-    kind = np.where(within(_DIGIT) > 0, 1, np.where(within(_LETTER) + within(_HIGH) < length, 2, np.where(within(_HIGH) > 0, 3, 0)))
+    # nothing but spaces stands between a word and the next
+    kind = _KIND[np.bitwise_or.reduceat(_BITS[chunk.data], chunk.starts)] if len(length) else length
     shape = 8 * kind + np.minimum(length, 8) - 1
     return chunk.word_hash() & ~np.uint64(SHAPES - 1) | shape.astype(np.uint64)
 
@@ -194,11 +195,19 @@ def lexicon(df: DataFrame, text_col: str = "text", words: int = WORDS, floor: in
     return Vocabulary(word.view(np.uint64)[top], tokens), Lexicon(keys[at], logs, np.log(rare_n / rare_words / total).astype(np.float32))
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(1, keepdims=True)
+#: Values whose exponentials, and the sums of these, floats hold without a shift.
+TAME = 60
+
+
+def _tame(weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Whether no hidden values, of -1 to 1, give values beyond ``TAME``; by class, if there are several."""
+    return (np.abs(weight).sum(-2) + np.abs(bias)).max(-1, initial=0) <= TAME
+
+
+def _exps(z: np.ndarray) -> np.ndarray:
+    """exp of ``z`` in its place; returns the sums of its rows."""
     np.exp(z, out=z)
-    z /= z.sum(1, keepdims=True)
-    return z
+    return z @ np.ones(z.shape[1], z.dtype)
 
 
 class Network:
@@ -221,36 +230,45 @@ class Network:
         self.near_seen, self.top_seen, self.out_seen, self.top_bias_seen, self.out_bias_seen = (p.reshape(s) for p, s in zip(np.split(self.seen, np.cumsum(sizes)[:-1]), shapes, strict=True))
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.near[0][around[:, 0]]
+        h = self.near[0].take(around[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            h += self.near[k][around[:, k]]
+            h += self.near[k].take(around[:, k], axis=0)
         return np.tanh(h, out=h)
 
-    def _by_class(self, token: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each class with the places of its tokens."""
-        own = (token - 1) // WIDE
+    def _by_class(self, token: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of tokens by class, and each class with the places of its tokens in that order."""
+        own = ((token - 1) // WIDE).astype(np.uint16 if self.classes <= 1 << 16 else np.int64)
         order = np.argsort(own, kind="stable")
-        bounds = np.searchsorted(own[order], np.arange(self.classes + 1))
-        for k in np.flatnonzero(np.diff(bounds)).tolist():
-            yield k, order[bounds[k] : bounds[k + 1]]
+        bounds = prefix(np.bincount(own, minlength=self.classes)).tolist()
+        return order, [(k, slice(a, b)) for k, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if a < b]
+
+    def _top(self, h: np.ndarray) -> np.ndarray:
+        z = h @ self.top
+        z += self.top_bias
+        return z if _tame(self.top, self.top_bias) else z - z.max(1, keepdims=True)
+
+    def _inner(self, h: np.ndarray, k: int, tame: bool) -> np.ndarray:
+        z = h @ self.out[k]
+        z += self.out_bias[k] + self.absent[k]
+        return z if tame else z - z.max(1, keepdims=True)
 
     def log_prob(self, around: np.ndarray, token: np.ndarray) -> np.ndarray:
         """Of each token, given those around it."""
-        out = np.empty(len(token))
+        out, tame = np.empty(len(token)), _tame(self.out, self.out_bias)
         for a in range(0, len(token), STEP):
-            t = token[a : a + STEP]
-            h, own = self.hidden(around[a : a + STEP]), out[a : a + STEP]
-            own[:] = self._log(h @ self.top + self.top_bias, (t - 1) // WIDE)
-            for k, at in self._by_class(t):
-                own[at] += self._log(h[at] @ self.out[k] + (self.out_bias[k] + self.absent[k]), (t[at] - 1) % WIDE)
+            order, parts = self._by_class(token[a : a + STEP])
+            order += a
+            h, own, at = self.hidden(around.take(order, axis=0)), (token[order] - 1) // WIDE, (token[order] - 1) % WIDE
+            z, every = self._top(h), np.arange(len(own))
+            log, sums = z[every, own], np.empty(len(own), np.float32)
+            log -= np.log(_exps(z))
+            for k, part in parts:
+                z = self._inner(h[part], k, tame[k])
+                log[part] += z[every[: len(z)], at[part]]
+                sums[part] = _exps(z)
+            out[order] = log - np.log(sums)
         return out
 
-    @staticmethod
-    def _log(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-        z -= z.max(1, keepdims=True)
-        own = z[np.arange(len(z)), at]
-        return own - np.log(np.exp(z, out=z).sum(1))
-
     @staticmethod
     def _step(weight: np.ndarray, seen: np.ndarray, grad: np.ndarray, at: np.ndarray | slice) -> None:
         squares = seen[at] + grad * grad
@@ -259,20 +277,24 @@ class Network:
 
     def gradients(self, around: np.ndarray, token: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | slice]]:
         """(weights, their squares seen, gradient of minus the mean log probability, its rows) of all parts that a batch touches."""
-        n, h = len(token), self.hidden(around)
-        scale = np.float32(1 / n)
-        z = _softmax(h @ self.top + self.top_bias)
-        z[np.arange(n), (token - 1) // WIDE] -= 1
-        z *= scale
+        order, parts = self._by_class(token)
+        around, token = around.take(order, axis=0), token[order] - 1
+        n, h, at = len(token), self.hidden(around), token % WIDE
+        scale, every, tame = np.float32(1 / n), np.arange(n), _tame(self.out, self.out_bias)
+        z = self._top(h)
+        z *= (scale / _exps(z))[:, None]
+        z[every, token // WIDE] -= scale
         back = z @ self.top.T
-        for k, at in self._by_class(token):
-            own = h[at]
-            q = _softmax(own @ self.out[k] + (self.out_bias[k] + self.absent[k]))
-            q[np.arange(len(at)), (token[at] - 1) % WIDE] -= 1
-            q *= scale
-            back[at] += q @ self.out[k].T
-            yield self.out[k], self.out_seen[k], own.T @ q, slice(None)
-            yield self.out_bias[k], self.out_bias_seen[k], q.sum(0), slice(None)
+        out, out_bias = np.zeros_like(self.out), np.zeros_like(self.out_bias)
+        for k, part in parts:
+            q = self._inner(h[part], k, tame[k])
+            q *= (scale / _exps(q))[:, None]
+            q[every[: len(q)], at[part]] -= scale
+            back[part] += q @ self.out[k].T
+            np.matmul(h[part].T, q, out=out[k])
+            out_bias[k] = np.ones(len(q), np.float32) @ q
+        yield self.out, self.out_seen, out, slice(None)
+        yield self.out_bias, self.out_bias_seen, out_bias, slice(None)
         yield self.top, self.top_seen, h.T @ z, slice(None)
         yield self.top_bias, self.top_bias_seen, z.sum(0), slice(None)
         back *= 1 - h * h
@@ -281,7 +303,7 @@ class Network:
         order = np.argsort(rows, kind="stable")
         rows = rows[order]
         first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
-        grad = np.add.reduceat(back[order % n], first, axis=0)
+        grad = np.add.reduceat(back.take(np.tile(every, 2 * SIDE)[order], axis=0), first, axis=0)
         yield self.near.reshape(-1, HIDDEN), self.near_seen.reshape(-1, HIDDEN), grad, rows[first].astype(np.int64)
 
     def train(self, around: np.ndarray, token: np.ndarray) -> None:

@@ -222,6 +222,36 @@ def test_lmscore_gradients():
             assert grad[i] == pytest.approx((up - down) / 0.02, rel=0.05, abs=1e-4)
 
 
+def test_lmscore_steps_do_not_grow_with_the_classes():
+    rng, steps = np.random.default_rng(4), set()
+    for vocab in (150, 4096):
+        net = lmscore.Network(vocab)
+        steps.add(len(list(net.gradients(rng.integers(0, vocab + 1, (9000, 4)), rng.integers(1, vocab + 1, 9000)))))
+    assert steps == {5}  # each kind of weights once a batch, not once a class
+
+
+def test_lmscore_with_large_weights():
+    rng = np.random.default_rng(5)
+    net = lmscore.Network(150)
+    net.flat[:] = rng.standard_normal(len(net.flat)) * 60  # beyond what exp takes without a shift
+    around, token = rng.integers(0, 151, (60, 4)), rng.integers(1, 151, 60)
+    got = net.log_prob(around, token)
+    h = np.tanh(sum(net.near[k][around[:, k]].astype(float) for k in range(4)))
+    for i, (own, at) in enumerate(zip(*divmod(token - 1, lmscore.WIDE), strict=True)):
+        z, q = h[i] @ net.top + net.top_bias, (h[i] @ net.out[own] + net.out_bias[own])[: 150 - own * lmscore.WIDE]
+        want = z[own] - np.logaddexp.reduce(z) + q[at] - np.logaddexp.reduce(q)
+        assert got[i] == pytest.approx(want, rel=1e-3, abs=1e-2)
+    assert all(np.isfinite(part).all() for _, _, part, _ in net.gradients(around, token))
+
+
+def test_lmscore_keys_tell_shapes():
+    words = ["abc", "a1", "-", "a-b", "é", "é-", "é1-", "x" * 9, "ABC"]
+    raw = [f" {w}  ".encode() for w in words] + [b"  ", b""]
+    chunk = lmscore.Chunk(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0] + [len(r) for r in raw]))
+    assert (lmscore._keys(chunk) & np.uint64(31)).tolist() == [2, 9, 16, 18, 25, 18, 11, 7, 18]
+    assert len(lmscore._keys(lmscore.Chunk(np.frombuffer(b"  ", np.uint8), np.array([0, 2])))) == 0
+
+
 def test_lmscore_fit_is_the_mean_of_its_shards(spark):
     rng = random.Random(4)
     rows = [(i, prose(rng, rng.choice([3, 80, 300]))) for i in range(60)] + [(5, "a text of its own"), (90, None), (91, "")]
