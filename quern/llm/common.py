@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,13 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*held).select(*[F.col(held[at.index(n)]).alias(n) for n in names])
 
 
+def release() -> None:
+    """Give what this process holds but does not use back to the system; a worker outlives its task, and other stages need the room."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc's
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values."""
     x = x.astype(np.uint64, copy=True)

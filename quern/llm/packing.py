@@ -10,7 +10,8 @@ that fits nowhere whole is cut over the lowest-cost sequences that have room.
 
 Windows follow the order of the input within a partition and hold a bounded
 number of tokens, so nothing is shuffled, memory does not grow with the input,
-and a task that runs again after a loss gives the same pieces.
+and a task that runs again after a loss gives the same pieces. A task forgets its
+words when it ends, since its worker goes on to tasks of other stages.
 
 Edge cases: a null or empty text is one piece that holds the end id only; texts
 of any length are read whole; repeated rows are packed one by one; an empty
@@ -30,18 +31,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import pick, prefix, runs, text_buffers
+from .common import pick, prefix, release, runs, text_buffers
 
 #: Tokens of one packing window at least, unless the partition ends.
 WINDOW_TOKENS = 1 << 21
-#: Words whose ids a worker remembers at most.
+#: Words whose ids a task remembers at most.
 MEMO_WORDS = 600_000
 #: Bytes of the words that stay when there are more: short words are the frequent ones.
 MEMO_SHORT = 8
 #: Bytes of one document that are split into words at a time.
 SEGMENT_BYTES = 1 << 20
 #: Bytes of text encoded together.
-BATCH_BYTES = 1 << 22
+BATCH_BYTES = 1 << 20
 
 
 def pack_lengths(lengths: np.ndarray, capacity: int, linear: float = 1.0, quadratic: float = 1 / 2048) -> np.ndarray:
@@ -128,7 +129,7 @@ class _Loaded:
             self.words[w] = struct.pack(f"<{len(e)}I", *e.ids)
 
 
-#: By vocabulary file; a Python worker keeps them from task to task.
+#: By vocabulary file; a Python worker keeps them from task to task, without the words.
 _loaded: dict[str, _Loaded] = {}
 
 
@@ -157,6 +158,10 @@ class WordEncoder:
         ids, at = self._ids(raw[off[0] : off[-1]], off - off[0])
         return [ids[4 * i : 4 * j] + self.end for i, j in zip(at[:-1], at[1:], strict=True)]
 
+    def forget(self) -> None:
+        """Keep none of the words met."""
+        self.loaded.words, self.loaded.known = {}, {}
+
     def _ids(self, data: np.ndarray, off: np.ndarray | None = None) -> tuple[bytes, list[int]]:
         """Ids of all texts on end, and each one's place there. Each distinct word of them is looked up once."""
         off = np.array([0, len(data)]) if off is None else off
@@ -206,14 +211,17 @@ def pack(
     docs = pick(df, id_col, text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enc = encoder()
         gc.disable()  # words and ids hold no cycles; looking for some among them takes a third of the time
         try:
-            yield from packed(batches)
+            yield from packed(batches, enc)
         finally:
+            enc.forget()
             gc.enable()
+            release()
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, first = encoder(), TaskContext.get().partitionId() << 32
+    def packed(batches: Iterator[pa.RecordBatch], enc: WordEncoder) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
         ids, held, tokens = [], [], 0
 
         def flush() -> pa.RecordBatch:
@@ -240,6 +248,7 @@ def pack(
                 if tokens >= window_tokens:
                     yield flush()
                     ids, held, tokens = [], [], 0
+                    release()
         if held:
             yield flush()
 

@@ -57,6 +57,16 @@ def test_packing_holds_every_id_once(odd):
     assert padding < 2048 * odd.rdd.getNumPartitions()
 
 
+def test_packing_leaves_no_words_with_its_workers(spark, odd):
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(len(x.words) + len(x.known) for x in packing._loaded.values())])], ["n"])
+
+    docs = odd.repartition(8).cache()
+    assert packing.pack(docs, tokenizer).count() > len(TEXTS)
+    assert sum(r.n for r in docs.select("doc_id").mapInArrow(held, "n long").collect()) == 0
+
+
 def test_packing_of_nothing(none, nulls):
     assert packing.pack(none, tokenizer).count() == 0
     assert sorted(r.doc_tokens for r in packing.pack(nulls, tokenizer).collect()) == [1, 4]

@@ -65,3 +65,16 @@ def test_pipeline_takes_anything(spark, sf, name, request):
             assert stage.columns == columns
     got = stage.collect()
     assert (len(got) == 0) == (name != "odd")
+
+
+@pytest.mark.parametrize("given, want", [("10000", "1000"), ("0", "1000"), ("300", "300")])
+def test_pipeline_hands_few_rows_to_workers(spark, sf, given, want):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs, before = spark.read.parquet(f"{sf}/documents.parquet").limit(40), spark.conf.get(key)
+    try:
+        for _, f in corpus_pipeline.STAGES:
+            spark.conf.set(key, given)
+            f(spark, docs, sf)
+            assert spark.conf.get(key) == want
+    finally:
+        spark.conf.set(key, before)
